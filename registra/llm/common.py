@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -98,6 +99,11 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of frames that are gone, which it does as the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no returned frame reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, few, words
+from .common import BROADCAST_ROWS, Scratch, ascii_lower, few, words
 
 
 def _runs(w: Column, width: int, one) -> Column:
@@ -14,8 +14,9 @@ def _runs(w: Column, width: int, one) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: one(i, F.lit(width)))).when(F.size(w) > 0, F.array(one(F.lit(1), F.size(w)))).otherwise(F.array())
 
 
-def shingle_texts(text: Column, width: int) -> Column:
-    w = words(ascii_lower(text))
+def shingle_texts(column: str, width: int) -> Column:
+    """Distinct shingles of a column of words."""
+    w = F.col(column)
     return F.array_distinct(_runs(w, width, lambda i, n: F.array_join(F.slice(w, i, n), " ")))
 
 
@@ -46,10 +47,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     w = docs.select("id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     probes = w.select("id", F.explode(F.filter(hash_words(F.col("w"), width), lambda h: h <= top)).alias("h"))
     cands = scratch.cut(probes.join(few(sketch), "h").select("id", "item_id", "of").distinct())
-    pairs = docs.alias("d").join(few(cands).alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("d.id", "d.text", "item_id", "of")
-    told = items.select(F.col("item_id").alias("_item"), F.col("of").alias("_of"), shingle_texts(F.col("text"), width).alias("shingles"))
-    pairs = pairs.join(told, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("of") == F.col("_of")))
-    found = pairs.select("id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", shingle_texts(F.col("text"), width))).cast("long").alias("n_shared"))
+    # A text's words and shingles are made once, whatever the number of its candidates, each in a column of its own, since a lambda would make them again for each element.
+    hits = cands.groupBy("id").agg(F.collect_list(F.struct("item_id", "of")).alias("hits"))
+    hits = F.broadcast(hits) if cands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
+    held = docs.alias("d").join(hits.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("d.id", words(ascii_lower(F.col("text"))).alias("w"), "hits")
+    held = held.select("id", shingle_texts("w", width).alias("held"), "hits").select("id", "held", F.explode("hits").alias("hit"))
+    told = items.select("item_id", "of", words(ascii_lower(F.col("text"))).alias("w")).select(F.col("item_id").alias("_item"), F.col("of").alias("_of"), shingle_texts("w", width).alias("shingles"))
+    pairs = held.join(told, F.col("hit.item_id").eqNullSafe(F.col("_item")) & (F.col("hit.of") == F.col("_of")))
+    found = pairs.select("id", F.col("_item").alias("item_id"), F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_shared"))
     found = found.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_item", "n_shared")).alias("b"))
     return best.select("id", "item_id", "b.n_item", "b.n_shared", F.col("b.c").alias("containment"))

@@ -29,8 +29,10 @@ from .components import components
 _SEG, _BAND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Lists of at most so many classes are tested pair by pair; longer ones by stars and then by the neighbourhoods.
 LIGHT = 16
-#: Stars tested in each list, each with a centre of its own.
-CENTRES = 3
+#: Rounds of stars, each with other centres.
+ROUNDS = 2
+#: Rounds in which sets go that share too few segments with any other.
+PRUNINGS = 2
 
 
 class Bands:
@@ -122,8 +124,12 @@ def neighbours_of(h: np.ndarray, percent: int, band: int, most: int, skip: np.nd
     return exact[use], _key((total[each] - g)[drop], segs[each][drop], band)
 
 
+def class_of(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+
+
 def _profile(width: int, percent: int):
-    """(id, text) -> (id, n, cls, own, low): set size, class of equal sets, slack in the own and in the lower band."""
+    """(id, text) -> (id, n, cls, odd, own, low): set size, class of equal sets, parity of its band, slack in the own and in the lower band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,12 +137,12 @@ def _profile(width: int, percent: int):
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, width)
                 if not len(h):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
-                slack = [s for _, s, _ in keys_of(h, percent)]
-                rows.append((len(h), xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63), slack[0], slack[1] if slack[1:] else None))
-            n, cls, own, low = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["id", "n", "cls", "own", "low"])
+                slack = [(band & 1, s) for band, s, _ in keys_of(h, percent)]
+                rows.append((len(h), class_of(h), *slack[0], slack[1][1] if slack[1:] else None))
+            n, cls, odd, own, low = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(odd, pa.int32()), pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["id", "n", "cls", "odd", "own", "low"])
 
     return run
 
@@ -148,7 +154,7 @@ def _signatures(width: int, percent: int):
             for text in b.column(0).to_pylist():
                 h = shingle_hashes(text, width)
                 if len(h):
-                    c = xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+                    c = class_of(h)
                     for _, _, k in keys_of(h, percent):
                         keys.append(k)
                         cls.append(np.full(len(k), c))
@@ -203,15 +209,28 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     texts without any id is null. Shingles are compared as 64-bit hashes, and classes of equal sets as 64-bit hashes of those."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    info = scratch.cut(docs.mapInArrow(_profile(width, percent), "id long, n long, cls long, own int, low int"))
-    sig = docs.select("text").mapInArrow(_signatures(width, percent), "key long, cls long")
+    info = scratch.cut(docs.mapInArrow(_profile(width, percent), "id long, n long, cls long, odd int, own int, low int"))
+    classes = scratch.cut(info.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"), *(F.min(c).alias(c) for c in ("odd", "own", "low"))))
+    parity = F.pmod(F.col("key"), F.lit(2)).cast("int").alias("parity")
+    slack = F.when(F.col("parity") == F.col("odd"), F.col("own")).otherwise(F.col("low")).alias("slack")
+
+    # Lists: the classes of each content, if several.
     by_key = Window.partitionBy("key")
+    sig = docs.select("text").mapInArrow(_signatures(width, percent), "key long, cls long")
     lists = scratch.cut(sig.select("key", "cls", F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi")).filter("lo < hi").select("key", "cls").distinct())
+    scratch.release()
+    for _ in range(PRUNINGS):  # a set differs from a partner in each segment that no other set has
+        held = lists.groupBy("cls", parity).agg(F.count("*").alias("n")).join(classes, "cls").withColumn("slack", slack).filter("n > slack").select("cls", "parity", "slack")
+        kept = lists.select("key", "cls", parity).join(held, ["cls", "parity"]).select("key", "cls", "parity", "slack", F.count("*").over(by_key).alias("size"))
+        fewer = scratch.cut(kept.filter("size > 1").drop("size"))
+        scratch.drop(lists)
+        lists = fewer
+    scratch.release()
+
     near = lists.select("cls").distinct()
-    falls_short = info.filter("own < 0 or low < 0").groupBy("cls").agg(F.min("own").alias("own"), F.min("low").alias("low"))
-    wanted = near.union(falls_short.select("cls")).distinct()
-    reps = info.filter("n > 0").groupBy("cls").agg(F.min("id").alias("id")).join(wanted, "cls")
-    texts = scratch.cut(docs.join(few(scratch.cut(reps)), "id").groupBy("cls").agg(F.min("text").alias("text")))
+    wanted = near.union(classes.filter("own < 0 or low < 0").select("cls")).distinct()
+    reps = scratch.cut(classes.join(wanted, "cls").select("cls", F.col("first").alias("id")))
+    texts = scratch.cut(docs.join(few(reps), "id").groupBy("cls").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
@@ -220,42 +239,44 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     comp = near.select("cls", F.col("cls").alias("comp"))
     tested = links = None
 
-    def merge(pairs: DataFrame) -> bool:
+    def merge(pairs: DataFrame) -> None:
         """Tests pairs of different components that weren't tested; joins what they link."""
         nonlocal comp, tested, links
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = scratch.cut(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
-            return False
+            return
         tested = new if tested is None else tested.union(new)
         found = scratch.cut(verified(new))
         links = found if links is None else links.union(found)
         known = components(scratch, links)
         comp = scratch.cut(comp.select("cls").join(known.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")))
-        return True
+        scratch.release()
 
     def open_lists() -> DataFrame:
         """Lists that hold more than one component still."""
-        c = F.struct("comp", "cls")
         g = lists.join(comp, "cls")
-        return g.select("*", F.min("comp").over(by_key).alias("least"), F.max("comp").over(by_key).alias("most"), F.count("*").over(by_key).alias("size"), *(F.min_by(c, F.xxhash64("cls", F.lit(r))).over(by_key).alias(f"c{r}") for r in range(CENTRES))).filter("least < most")
-
-    def pairs_within(g: DataFrame) -> DataFrame:
-        x, y = (g.select("key", F.col("cls").alias(n), F.col("comp").alias(f"_{n}")) for n in "ab")
-        return x.join(y, "key").filter("a < b and _a <> _b").select("a", "b")
-
-    stars = F.array(*(F.col(f"c{r}") for r in range(CENTRES)))
-    merge(open_lists().select("cls", "comp", F.explode(stars).alias("c")).filter("c.comp <> comp").select(F.col("c.cls").alias("a"), F.col("cls").alias("b")))
-    merge(pairs_within(open_lists().filter(f"size <= {LIGHT}")))
-
-    # What is left: lists that are long and hold several components are worth nothing, as are empty segments.
-    heavy = scratch.cut(open_lists().filter(f"size > {LIGHT}").select("key", "cls"))
-    parity = F.pmod(F.col("key"), F.lit(2)).cast("int")
-    used = heavy.groupBy("cls").agg(F.count_if(parity == 0).alias("even"), F.count_if(parity == 1).alias("odd"), F.collect_list("key").alias("skip"))
-    # A class that falls short in either of its bands by the worse of the two counts is looked at again in both; the more the safer.
-    own = info.filter("n > 0").groupBy("cls").agg(F.min("own").alias("own"), F.min("low").alias("low"))
-    lost = F.coalesce(F.greatest("even", "odd"), F.lit(0))
-    short = own.join(used, "cls", "left").select("cls", (lost > F.col("own")).alias("own"), (lost > F.col("low")).alias("low"), "skip").filter("own or low")
+        return g.select("*", F.min("comp").over(by_key).alias("least"), F.max("comp").over(by_key).alias("most"), F.count("*").over(by_key).alias("size")).filter("least < most")
+
+    for r in range(ROUNDS):
+        g = open_lists().withColumn("c", F.min_by(F.struct("comp", "cls"), F.xxhash64("cls", F.lit(r))).over(by_key))
+        # Stars only save work, so they are tested where a class shares much with a centre.
+        merge(g.filter("c.comp <> comp").groupBy(F.col("c.cls").alias("a"), F.col("cls").alias("b"), "parity").agg(F.count("*").alias("n"), F.max("slack").alias("slack")).filter("2 * n > slack"))
+
+    # What is left: long lists of several components are worth nothing, as are empty segments; the short lists count in full.
+    left = scratch.cut(open_lists().select("key", "cls", "comp", "parity", "slack", "size"))
+    heavy = left.filter(f"size > {LIGHT}").groupBy("cls", "parity").agg(F.count("*").alias("lost"), F.collect_list("key").alias("skip"))
+    heavy = scratch.cut(heavy)
+    x, y = (left.filter(f"size <= {LIGHT}").select("key", "parity", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "slack"))) for n in "ab")
+    both = x.join(y, ["key", "parity"]).filter("cls_a < cls_b and comp_a <> comp_b").groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "parity").agg(F.count("*").alias("n"), *(F.max(f"slack_{c}").alias(f"slack_{c}") for c in "ab"))
+    for n in "ab":  # partners share more than slack of the segments, those in long lists aside
+        both = both.join(heavy.select(F.col("cls").alias(n), "parity", F.col("lost").alias(f"lost_{n}")), [n, "parity"], "left").filter(f"n + coalesce(lost_{n}, 0) > slack_{n}")
+    merge(both)
+
+    # Pairs that share no short list are linked only if both fall short.
+    each = classes.select("cls", F.explode(F.array(F.struct(F.col("odd").alias("parity"), F.lit(True).alias("is_own"), F.col("own").alias("slack")), F.struct((1 - F.col("odd")).alias("parity"), F.lit(False).alias("is_own"), F.col("low").alias("slack")))).alias("e")).select("cls", "e.*").filter("slack is not null")
+    short = each.join(heavy, ["cls", "parity"], "left").filter("coalesce(lost, 0) > slack")
+    short = short.groupBy("cls").agg(F.bool_or("is_own").alias("own"), F.bool_or(~F.col("is_own")).alias("low"), F.flatten(F.collect_list(F.coalesce("skip", F.array()))).alias("skip"))
     short = scratch.cut(short.join(texts, "cls"))
     if short.limit(1).count():
         rows = scratch.cut(short.select("cls", "own", "low", "skip", "text").mapInArrow(_neighbourhoods(width, percent), "key long, cls long, exact boolean").distinct())
@@ -265,9 +286,8 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         merge(x.join(y, "key").filter("a <> b and _a <> _b").select("a", "b"))
         scratch.drop(rows)
 
-    firsts = info.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"))
-    group = firsts.join(comp, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
+    group = classes.join(comp, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     lead = group.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = scratch.cut(group.join(lead, "comp").select("cls", "component_id"))
-    scratch.drop(lists, texts, short, heavy)
+    scratch.drop(lists, texts, short, heavy, left)
     return info.join(of, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
