@@ -83,7 +83,7 @@ def test_validate_pipeline(spark):
     n = nodes(spark, ("R-1", "req", {"tags": '[1,"x"]'}), ("bad", "req", {}), ("t", "test", {}), ("t", "test", {}), ("z", "odd", {}))
     e = edges(spark, ("t", "R-1", "verifies"), ("t", "R-1", "verifies"), ("t", "gone", "verifies"), ("t", "R-1", "jumps"), ("bad", "R-1", "verifies"))
     f = validate.validate(Register(n, e), p)
-    got = sorted((r.code, r.node_id, r.suppressed) for r in f.collect())
+    got = sorted((r.code, r.node_id or "", r.suppressed) for r in f.collect())
     assert ("ATTR_LIST_ITEMS", "R-1", False) in got and ("ID_FORMAT", "bad", True) in got and ("PARSE_ERROR", "t", False) in got
     assert ("EDGE_COUNT", "R-1", False) in got and ("EDGE_CONSTRAINT", "bad", False) in got and ("VACANCY", "t", False) in got
     assert sum(c == "UNKNOWN_KIND" for c, _, _ in got) == 2
