@@ -29,6 +29,10 @@ from .components import components
 _SEG, _BAND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Lists of at most so many classes are tested pair by pair; longer ones by stars and then by the neighbourhoods.
 LIGHT = 16
+#: Among the sets that fall short, contents and shingles of at most so many rows are rare.
+RARE = 64
+#: Sets smaller than this may have too few segments for any allocation; their common shingles are looked up one by one.
+TINY = 12
 #: Rounds of stars, each with other centres.
 ROUNDS = 2
 #: Rounds in which sets go that share too few segments with any other.
@@ -104,24 +108,16 @@ def keys_of(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def neighbours_of(h: np.ndarray, percent: int, band: int, most: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exact keys, keys with one shingle less) of the segments outside skip if they suffice, else of all.
-
-    A segment of two and more shingles is worth 2, of one shingle 1. If even that falls short (a few tiny sets),
-    every shingle gets a key of its own: linked sets share one."""
+def neighbours_of(h: np.ndarray, percent: int, band: int) -> tuple[np.ndarray, ...]:
+    """Keys of the segments' contents and of those less one shingle: keys, segment of each, whether it is the whole content, worth of its segment (2, or 1 for one shingle)."""
     g, seg, segs, starts = _segments(h, band, bands(percent).segments(band))
     total = np.add.reduceat(g, starts)
     size = np.diff(np.r_[starts, len(g)])
-    exact = _key(total, segs, band)
-    use = ~np.isin(exact, skip)
-    if np.minimum(size, 2)[use].sum() <= most:
-        use[:] = True
-    if np.minimum(size, 2).sum() <= most or len(h) < 8:
-        single = _key(g, np.zeros(len(g), np.uint64) + np.uint64(1 << 40), band)
-        exact, use = np.r_[exact, single], np.r_[use, np.ones(len(single), bool)]
     each = np.repeat(np.arange(len(segs)), size)
-    drop = use[: len(segs)][each] & (size[each] > 1)
-    return exact[use], _key((total[each] - g)[drop], segs[each][drop], band)
+    drop = size[each] > 1
+    keys = np.r_[_key(total, segs, band), _key((total[each] - g)[drop], segs[each][drop], band)]
+    number = np.r_[np.arange(len(segs)), each[drop]]
+    return keys, number, np.arange(len(keys)) < len(segs), np.minimum(size, 2)[number]
 
 
 def class_of(h: np.ndarray) -> int:
@@ -185,17 +181,29 @@ def _verify(width: int, percent: int):
 
 
 def _neighbourhoods(width: int, percent: int):
-    """(cls, own, low, skip, text) -> (key, cls, exact): own, low: whether that band falls short."""
+    """(cls, own, low, text) -> (key, cls, seg, exact, worth, most): own, low: whether that band falls short; most: the greatest difference of its pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cls, own, low, skip, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cls, own, low, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingle_hashes(text, width)
                 for (band, most), short in zip(bands(percent).schemes(len(h)), (own, low), strict=False):
                     if short:
-                        exact, less = neighbours_of(h, percent, band, most, np.array(skip or [], np.int64))
-                        k = np.r_[exact, less]
-                        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), cls)), pa.array(np.arange(len(k)) < len(exact))], ["key", "cls", "exact"])
+                        keys, seg, exact, worth = neighbours_of(h, percent, band)
+                        whole = lambda x, n=len(keys): pa.array(np.full(n, x))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), whole(cls), pa.array(seg.astype(np.int32)), pa.array(exact), pa.array(worth.astype(np.int32)), pa.array(np.full(len(keys), most, np.int32))], ["key", "cls", "seg", "exact", "worth", "most"])
+
+    return run
+
+
+def _tokens(width: int):
+    """(cls, text) -> (token, cls, n)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cls, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = shingle_hashes(text, width)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), cls)), pa.array(np.full(len(h), len(h)))], ["token", "cls", "n"])
 
     return run
 
@@ -265,7 +273,7 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
 
     # What is left: long lists of several components are worth nothing, as are empty segments; the short lists count in full.
     left = scratch.cut(open_lists().select("key", "cls", "comp", "parity", "slack", "size"))
-    heavy = left.filter(f"size > {LIGHT}").groupBy("cls", "parity").agg(F.count("*").alias("lost"), F.collect_list("key").alias("skip"))
+    heavy = left.filter(f"size > {LIGHT}").groupBy("cls", "parity").agg(F.count("*").alias("lost"))
     heavy = scratch.cut(heavy)
     x, y = (left.filter(f"size <= {LIGHT}").select("key", "parity", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "slack"))) for n in "ab")
     both = x.join(y, ["key", "parity"]).filter("cls_a < cls_b and comp_a <> comp_b").groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "parity").agg(F.count("*").alias("n"), *(F.max(f"slack_{c}").alias(f"slack_{c}") for c in "ab"))
@@ -273,18 +281,43 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         both = both.join(heavy.select(F.col("cls").alias(n), "parity", F.col("lost").alias(f"lost_{n}")), [n, "parity"], "left").filter(f"n + coalesce(lost_{n}, 0) > slack_{n}")
     merge(both)
 
-    # Pairs that share no short list are linked only if both fall short.
+    # Pairs that share no short list are linked only if both fall short. Those sets get the neighbourhoods of their segments,
+    # worth 2 where all their keys are rare, 1 where only the content is, else 0.
     each = classes.select("cls", F.explode(F.array(F.struct(F.col("odd").alias("parity"), F.lit(True).alias("is_own"), F.col("own").alias("slack")), F.struct((1 - F.col("odd")).alias("parity"), F.lit(False).alias("is_own"), F.col("low").alias("slack")))).alias("e")).select("cls", "e.*").filter("slack is not null")
     short = each.join(heavy, ["cls", "parity"], "left").filter("coalesce(lost, 0) > slack")
-    short = short.groupBy("cls").agg(F.bool_or("is_own").alias("own"), F.bool_or(~F.col("is_own")).alias("low"), F.flatten(F.collect_list(F.coalesce("skip", F.array()))).alias("skip"))
+    short = short.groupBy("cls").agg(F.bool_or("is_own").alias("own"), F.bool_or(~F.col("is_own")).alias("low"))
     short = scratch.cut(short.join(texts, "cls"))
     if short.limit(1).count():
-        rows = scratch.cut(short.select("cls", "own", "low", "skip", "text").mapInArrow(_neighbourhoods(width, percent), "key long, cls long, exact boolean").distinct())
         comp = scratch.cut(comp.union(short.select("cls", F.col("cls").alias("comp")).join(comp, "cls", "left_anti")))
-        g = rows.join(comp, "cls")
-        x, y = g.filter("exact").select("key", F.col("cls").alias("a"), F.col("comp").alias("_a")), g.select("key", F.col("cls").alias("b"), F.col("comp").alias("_b"))
-        merge(x.join(y, "key").filter("a <> b and _a <> _b").select("a", "b"))
-        scratch.drop(rows)
+        rows = short.select("cls", "own", "low", "text").mapInArrow(_neighbourhoods(width, percent), "key long, cls long, seg int, exact boolean, worth int, most int")
+        rows = scratch.cut(rows.select("*", parity, (F.count("*").over(by_key) <= RARE).alias("rare")))
+
+        def meet(lists: DataFrame) -> DataFrame:
+            g = lists.select("key", "cls", "exact").distinct().join(comp, "cls")
+            x, y = g.filter("exact").select("key", F.col("cls").alias("a"), F.col("comp").alias("_a")), g.select("key", F.col("cls").alias("b"), F.col("comp").alias("_b"))
+            return x.join(y, "key").filter("a <> b and _a <> _b").select("a", "b")
+
+        merge(meet(rows.filter("rare")))
+        worth = F.when(F.bool_and("rare"), F.max("worth")).when(F.bool_or(F.col("rare") & F.col("exact")), 1).otherwise(0)
+        open_ = rows.groupBy("cls", "parity", "seg").agg(worth.alias("w"), F.max("most").alias("most")).groupBy("cls", "parity").agg(F.sum("w").alias("w"), F.max("most").alias("most")).filter("w <= most").select("cls").distinct()
+        # Of sets that fall short even so, few shingles are rare. Pairs differ by all rare shingles that they don't share.
+        mine = scratch.cut(open_.join(texts, "cls"))
+        by_token = Window.partitionBy("token")
+        rare = mine.select("cls", "text").mapInArrow(_tokens(width), "token long, cls long, n long").select("*", (F.count("*").over(by_token) <= RARE).alias("rare"))
+        rare = scratch.cut(rare)
+        few_ = rare.groupBy("cls").agg(F.count_if("rare").alias("r"), F.max("n").alias("n"))
+        t = rare.filter("rare").join(comp, "cls").select("token", "cls", "comp")
+        x, y = (t.select("token", F.col("cls").alias(n), F.col("comp").alias(f"_{n}")) for n in "ab")
+        sharing = x.join(y, "token").filter("a < b and _a <> _b").groupBy("a", "b").agg(F.count("*").alias("s"))
+        for n in "ab":
+            sharing = sharing.join(few_.select(F.col("cls").alias(n), F.col("r").alias(f"r{n}"), F.col("n").alias(f"n{n}")), n)
+        merge(sharing.filter(f"(ra + rb - 2 * s) * {100 + percent} <= (na + nb) * {100 - percent}"))
+        # What is left are sets of which a third at most is rare: they are met by all their keys.
+        common = few_.filter(f"r * {100 + percent} <= (n + n * 100 / {percent}) * {100 - percent}").select("cls")
+        merge(meet(rows.join(common, "cls", "left_semi")))
+        token = rare.join(common, "cls", "left_semi").filter(f"n < {TINY}").select(F.col("token").alias("key"), "cls", F.lit(True).alias("exact"))
+        merge(meet(token))
+        scratch.drop(rows, rare, mine)
 
     group = classes.join(comp, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     lead = group.groupBy("comp").agg(F.min("first").alias("component_id"))
