@@ -13,14 +13,19 @@ PARAGRAPH = r"(?s)[^.!?\n]{1,24}[.!?\n]*|[.!?\n]+"
 SECTION = "(?:[0-9a-f]{31}[1-9a-f]){0,31}(?:[0-9a-f]{31}0)?"
 
 
-def fingerprint(text: Column) -> Column:
-    """root|section:leaves;section:leaves...: the root in 32 hex digits, each section and leaf in 8. Null counts as empty: a root over nothing.
-
-    The root is the hash of the sections' hashes, a section's that of its leaves', each in full (128 bits), so equal roots mean
-    equal texts, equal sections equal stretches, and only differing sections need a look at their leaves."""
+def tree(text: Column) -> Column:
+    """Sections in order: hash (128 bits) and the first 8 digits of each leaf's hash, one after another."""
     leaves = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0)), lambda p: F.md5(p.cast("binary")))
     sections = F.filter(F.regexp_extract_all(F.array_join(leaves, ""), F.lit(SECTION), F.lit(0)), lambda s: s != "")
-    nodes = F.transform(sections, lambda s: F.struct(F.md5(s.cast("binary")).alias("h"), F.regexp_replace(s, "([0-9a-f]{8})[0-9a-f]{24}", "$1").alias("leaves")))
+    return F.transform(sections, lambda s: F.struct(F.md5(s.cast("binary")).alias("h"), F.regexp_replace(s, "([0-9a-f]{8})[0-9a-f]{24}", "$1").alias("leaves")))
+
+
+def fingerprint(nodes: Column) -> Column:
+    """A tree as root|section:leaves;section:leaves...: the root in 32 hex digits, each section and leaf in 8. Null and empty texts have a root over nothing.
+
+    The root is the hash of the sections' hashes, a section's that of its leaves', each in full (128 bits), so equal roots mean
+    equal texts, equal sections equal stretches, and only differing sections need a look at their leaves. Pass a column that holds
+    a tree rather than tree(...) itself, which would be built once for the root and again for the rest."""
     root = F.md5(F.array_join(F.transform(nodes, lambda n: n.h), "").cast("binary"))
     return F.concat(root, F.lit("|"), F.array_join(F.transform(nodes, lambda n: F.concat(F.substring(n.h, 1, 8), F.lit(":"), n.leaves)), ";"))
 
@@ -89,5 +94,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     d = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut), F.substring(F.col("next_text"), F.lit(1), cut))
-    d = d.select("id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("_next"))
+    d = d.select("id", "n_chars", "text", "next_text", edited.alias("edited"))
+    d = d.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(tree(F.col(c)).alias(c) for c in ("text", "edited", "next_text")))
+    d = d.select("id", "n_chars", "edited_sha256", fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("_next"))
     return d.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_next")).alias("near_next"))
