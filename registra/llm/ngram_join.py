@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, few, mix64, shingle_hashes
@@ -29,10 +29,8 @@ from .components import components
 _SEG, _BAND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Lists of at most so many classes are tested pair by pair; longer ones by stars and then by the neighbourhoods.
 LIGHT = 16
-#: Among the sets that fall short, contents and shingles of at most so many rows are rare.
+#: Among the sets that fall short, shingles that at most so many sets hold are rare; the others are usual.
 RARE = 64
-#: Sets smaller than this may have too few segments for any allocation; their common shingles are looked up one by one.
-TINY = 12
 #: Rounds of stars, each with other centres.
 ROUNDS = 2
 #: Rounds in which sets go that share too few segments with any other.
@@ -108,16 +106,14 @@ def keys_of(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def neighbours_of(h: np.ndarray, percent: int, band: int) -> tuple[np.ndarray, ...]:
-    """Keys of the segments' contents and of those less one shingle: keys, segment of each, whether it is the whole content, worth of its segment (2, or 1 for one shingle)."""
+def neighbours_of(h: np.ndarray, percent: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments' contents, then of those less one shingle each; and how much the segments are worth together."""
     g, seg, segs, starts = _segments(h, band, bands(percent).segments(band))
     total = np.add.reduceat(g, starts)
     size = np.diff(np.r_[starts, len(g)])
     each = np.repeat(np.arange(len(segs)), size)
     drop = size[each] > 1
-    keys = np.r_[_key(total, segs, band), _key((total[each] - g)[drop], segs[each][drop], band)]
-    number = np.r_[np.arange(len(segs)), each[drop]]
-    return keys, number, np.arange(len(keys)) < len(segs), np.minimum(size, 2)[number]
+    return np.r_[_key(total, segs, band), _key((total[each] - g)[drop], segs[each][drop], band)], np.minimum(size, 2)
 
 
 def class_of(h: np.ndarray) -> int:
@@ -181,29 +177,30 @@ def _verify(width: int, percent: int):
 
 
 def _neighbourhoods(width: int, percent: int):
-    """(cls, own, low, text) -> (key, cls, seg, exact, worth, most): own, low: whether that band falls short; most: the greatest difference of its pairs."""
+    """(cls, own, low, text) -> (key, cls, exact): own, low: whether that band falls short; exact: the content as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for cls, own, low, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingle_hashes(text, width)
-                for (band, most), short in zip(bands(percent).schemes(len(h)), (own, low), strict=False):
+                for (band, _), short in zip(bands(percent).schemes(len(h)), (own, low), strict=False):
                     if short:
-                        keys, seg, exact, worth = neighbours_of(h, percent, band)
-                        whole = lambda x, n=len(keys): pa.array(np.full(n, x))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), whole(cls), pa.array(seg.astype(np.int32)), pa.array(exact), pa.array(worth.astype(np.int32)), pa.array(np.full(len(keys), most, np.int32))], ["key", "cls", "seg", "exact", "worth", "most"])
+                        keys, worth = neighbours_of(h, percent, band)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), cls)), pa.array(np.arange(len(keys)) < len(worth))], ["key", "cls", "exact"])
 
     return run
 
 
-def _tokens(width: int):
-    """(cls, text) -> (token, cls, n)"""
+def _tokens(width: int, percent: int):
+    """(cls, own, low, text) -> (token, cls, n, thin): thin: a short band has too few segments even with neighbourhoods."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for cls, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cls, own, low, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = shingle_hashes(text, width)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), cls)), pa.array(np.full(len(h), len(h)))], ["token", "cls", "n"])
+                n = len(h)
+                thin = any(short and neighbours_of(h, percent, band)[1].sum() <= most for (band, most), short in zip(bands(percent).schemes(n), (own, low), strict=False))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, cls)), pa.array(np.full(n, n)), pa.array(np.full(n, thin))], ["token", "cls", "n", "thin"])
 
     return run
 
@@ -281,43 +278,56 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         both = both.join(heavy.select(F.col("cls").alias(n), "parity", F.col("lost").alias(f"lost_{n}")), [n, "parity"], "left").filter(f"n + coalesce(lost_{n}, 0) > slack_{n}")
     merge(both)
 
-    # Pairs that share no short list are linked only if both fall short. Those sets get the neighbourhoods of their segments,
-    # worth 2 where all their keys are rare, 1 where only the content is, else 0.
+    # Pairs that share no short list are linked only if both fall short. Those sets get the neighbourhoods of their segments.
     each = classes.select("cls", F.explode(F.array(F.struct(F.col("odd").alias("parity"), F.lit(True).alias("is_own"), F.col("own").alias("slack")), F.struct((1 - F.col("odd")).alias("parity"), F.lit(False).alias("is_own"), F.col("low").alias("slack")))).alias("e")).select("cls", "e.*").filter("slack is not null")
     short = each.join(heavy, ["cls", "parity"], "left").filter("coalesce(lost, 0) > slack")
     short = short.groupBy("cls").agg(F.bool_or("is_own").alias("own"), F.bool_or(~F.col("is_own")).alias("low"))
     short = scratch.cut(short.join(texts, "cls"))
     if short.limit(1).count():
         comp = scratch.cut(comp.union(short.select("cls", F.col("cls").alias("comp")).join(comp, "cls", "left_anti")))
-        rows = short.select("cls", "own", "low", "text").mapInArrow(_neighbourhoods(width, percent), "key long, cls long, seg int, exact boolean, worth int, most int")
-        rows = scratch.cut(rows.select("*", parity, (F.count("*").over(by_key) <= RARE).alias("rare")))
-
-        def meet(lists: DataFrame) -> DataFrame:
-            g = lists.select("key", "cls", "exact").distinct().join(comp, "cls")
-            x, y = g.filter("exact").select("key", F.col("cls").alias("a"), F.col("comp").alias("_a")), g.select("key", F.col("cls").alias("b"), F.col("comp").alias("_b"))
-            return x.join(y, "key").filter("a <> b and _a <> _b").select("a", "b")
-
-        merge(meet(rows.filter("rare")))
-        worth = F.when(F.bool_and("rare"), F.max("worth")).when(F.bool_or(F.col("rare") & F.col("exact")), 1).otherwise(0)
-        open_ = rows.groupBy("cls", "parity", "seg").agg(worth.alias("w"), F.max("most").alias("most")).groupBy("cls", "parity").agg(F.sum("w").alias("w"), F.max("most").alias("most")).filter("w <= most").select("cls").distinct()
-        # Of sets that fall short even so, few shingles are rare. Pairs differ by all rare shingles that they don't share.
-        mine = scratch.cut(open_.join(texts, "cls"))
-        by_token = Window.partitionBy("token")
-        rare = mine.select("cls", "text").mapInArrow(_tokens(width), "token long, cls long, n long").select("*", (F.count("*").over(by_token) <= RARE).alias("rare"))
-        rare = scratch.cut(rare)
-        few_ = rare.groupBy("cls").agg(F.count_if("rare").alias("r"), F.max("n").alias("n"))
-        t = rare.filter("rare").join(comp, "cls").select("token", "cls", "comp")
+        tokens = scratch.cut(short.select("cls", "own", "low", "text").mapInArrow(_tokens(width, percent), "token long, cls long, n long, thin boolean"))
+        rare = tokens.groupBy("token").count().filter(F.col("count").between(2, RARE)).select("token")
+        shared = scratch.cut(tokens.join(few(rare), "token").select("token", "cls"))  # held by several, but few
+        often = scratch.cut(tokens.groupBy("token").count().filter(f"count > {RARE}").select("token"))
+        usual = scratch.cut(tokens.join(few(often), "token"))
+        sizes = tokens.groupBy("cls").agg(F.max("n").alias("n")).join(usual.groupBy("cls").agg(F.count("*").alias("u")), "cls", "left")
+        sizes = scratch.cut(sizes.select("cls", "n", F.coalesce("u", F.lit(0)).alias("u")))
+
+        # Pairs that share a rare shingle are counted by those; of the usual ones they share at most as many as the poorer has.
+        bound = f"(s + least(u_a, u_b)) * {100 + percent} >= (n_a + n_b) * {percent}"
+        t = shared.join(comp, "cls")
         x, y = (t.select("token", F.col("cls").alias(n), F.col("comp").alias(f"_{n}")) for n in "ab")
         sharing = x.join(y, "token").filter("a < b and _a <> _b").groupBy("a", "b").agg(F.count("*").alias("s"))
         for n in "ab":
-            sharing = sharing.join(few_.select(F.col("cls").alias(n), F.col("r").alias(f"r{n}"), F.col("n").alias(f"n{n}")), n)
-        merge(sharing.filter(f"(ra + rb - 2 * s) * {100 + percent} <= (na + nb) * {100 - percent}"))
-        # What is left are sets of which a third at most is rare: they are met by all their keys.
-        common = few_.filter(f"r * {100 + percent} <= (n + n * 100 / {percent}) * {100 - percent}").select("cls")
-        merge(meet(rows.join(common, "cls", "left_semi")))
-        token = rare.join(common, "cls", "left_semi").filter(f"n < {TINY}").select(F.col("token").alias("key"), "cls", F.lit(True).alias("exact"))
-        merge(meet(token))
-        scratch.drop(rows, rare, mine)
+            sharing = sharing.join(few(sizes).select(F.col("cls").alias(n), F.col("n").alias(f"n_{n}"), F.col("u").alias(f"u_{n}")), n)
+        merge(sharing.filter(bound))
+
+        # All others share usual shingles only, so at least percent of a set must be usual. They meet in the neighbourhoods of their
+        # segments (few segments: in each usual shingle). If all that two of them share lies in a centre no larger than either, both
+        # are linked to the centre; so the fullest set of each list is tested first, and then sets go that no other's size suits.
+        usable = sizes.filter(f"u * 100 >= n * {percent}")
+        held = short.join(usable, "cls", "left_semi")
+        rows = held.select("cls", "own", "low", "text").mapInArrow(_neighbourhoods(width, percent), "key long, cls long, exact boolean")
+        rows = rows.union(usual.join(usable, "cls", "left_semi").filter("thin").select(F.col("token").alias("key"), "cls", F.lit(True).alias("exact")))
+        rows = scratch.cut(rows.groupBy("key", "cls").agg(F.bool_or("exact").alias("exact")).join(few(usable), "cls"))
+        bound = bound.replace("s + ", "")
+
+        def with_lists(g: DataFrame, *of: Column) -> DataFrame:
+            by = g.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or("exact").alias("some"), *of)
+            by = scratch.cut(by.filter("least < most and some").drop("least", "most", "some"))
+            return g.join(few(by), "key")
+
+        g = with_lists(rows.join(few(comp), "cls"), F.max(F.struct((F.col("u") / F.col("n")).alias("fill"), -F.col("n"), "cls", "comp", "n", "u")).alias("c"))
+        star = g.select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("n_a"), F.col("u").alias("u_a"), F.col("c.n").alias("n_b"), F.col("c.u").alias("u_b"), F.col("comp").alias("_a"), F.col("c.comp").alias("_b"))
+        merge(star.filter("_a <> _b").filter(bound).select("a", "b"))
+        reach = F.col("u") * (100 + percent) - F.col("n") * percent
+        g = rows.join(few(comp), "cls").withColumn("reach", reach)
+        for _ in range(PRUNINGS):
+            g = with_lists(g, F.min("n").alias("least_n"), F.max("reach").alias("most_reach")).filter(f"reach >= least_n * {percent} and most_reach >= n * {percent}").drop("least_n", "most_reach")
+            g = scratch.cut(g)
+        x, y = (g.select("key", "exact", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "n", "u"))).withColumnRenamed("exact", f"exact_{n}") for n in "ab")
+        merge(x.filter("exact_a").join(y, F.expr(f"cls_a <> cls_b and comp_a <> comp_b and {bound}") & (x["key"] == y["key"])).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+        scratch.drop(rows, tokens, shared, usual)
 
     group = classes.join(comp, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     lead = group.groupBy("comp").agg(F.min("first").alias("component_id"))
