@@ -80,13 +80,17 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
+def _salted(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band's hashes and their segments; narrow numbers are sorted by radix."""
+    g = mix64(h ^ (np.array([band], np.uint64) * _BAND))
+    return g, ((g >> np.uint64(11)) % np.uint64(m)).astype(np.uint16 if m <= 1 << 16 else np.uint64)
+
+
 def _segments(h: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a set: hashes by segment, each one's segment, and of the segments that aren't empty: number and start."""
-    salt = np.array([band], np.uint64) * _BAND
-    g = mix64(h ^ salt)
-    seg = (g >> np.uint64(11)) % np.uint64(m)
+    g, seg = _salted(h, band, m)
     order = np.argsort(seg, kind="stable")
-    g, seg = g[order], seg[order]
+    g, seg = g[order], seg[order].astype(np.uint64)
     starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
     return g, seg, seg[starts], starts
 
@@ -97,12 +101,23 @@ def _key(content: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
     return ((k & ~np.uint64(1)) | np.uint64(band & 1)).view(np.int64)
 
 
-def keys_of(h: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """(band, slack, keys): slack is the number of segments to spare, negative if too many are empty."""
+def slacks_of(h: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(band, slack): the number of segments to spare, negative if too many are empty."""
     out = []
     for band, most in bands(percent).schemes(len(h)):
+        m = bands(percent).segments(band)
+        filled = np.zeros(m, bool)
+        filled[_salted(h, band, m)[1]] = True
+        out.append((band, int(np.count_nonzero(filled)) - most - 1))
+    return out
+
+
+def keys_of(h: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The keys of a set's segments, for each of its bands."""
+    out = []
+    for band, _ in bands(percent).schemes(len(h)):
         g, _, segs, starts = _segments(h, band, bands(percent).segments(band))
-        out.append((band, len(segs) - most - 1, _key(np.add.reduceat(g, starts), segs, band)))
+        out.append(_key(np.add.reduceat(g, starts), segs, band))
     return out
 
 
@@ -131,7 +146,7 @@ def _profile(width: int, percent: int):
                 if not len(h):
                     rows.append((0, None, None, None, None))
                     continue
-                slack = [(band & 1, s) for band, s, _ in keys_of(h, percent)]
+                slack = [(band & 1, s) for band, s in slacks_of(h, percent)]
                 rows.append((len(h), class_of(h), *slack[0], slack[1][1] if slack[1:] else None))
             n, cls, odd, own, low = zip(*rows, strict=True) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(odd, pa.int32()), pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["id", "n", "cls", "odd", "own", "low"])
@@ -147,7 +162,7 @@ def _signatures(width: int, percent: int):
                 h = shingle_hashes(text, width)
                 if len(h):
                     c = class_of(h)
-                    for _, _, k in keys_of(h, percent):
+                    for k in keys_of(h, percent):
                         keys.append(k)
                         cls.append(np.full(len(k), c))
             keys, cls = np.concatenate(keys), np.concatenate(cls)
@@ -241,21 +256,23 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         return full.select("a", "b", "ta", "tb").mapInArrow(_verify(width, percent), "a long, b long")
 
-    comp = near.select("cls", F.col("cls").alias("comp"))
-    tested = links = None
+    comp = scratch.cut(near.select("cls", F.col("cls").alias("comp")))
+    tested = None
 
     def merge(pairs: DataFrame) -> None:
-        """Tests pairs of different components that weren't tested; joins what they link."""
-        nonlocal comp, tested, links
+        """Tests pairs of different components that weren't tested; joins the components that they link."""
+        nonlocal comp, tested
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = scratch.cut(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
             return
         tested = new if tested is None else tested.union(new)
         found = scratch.cut(verified(new))
-        links = found if links is None else links.union(found)
-        known = components(scratch, links)
-        comp = scratch.cut(comp.select("cls").join(known.select(F.col("id").alias("cls"), "comp"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp")))
+        if found.limit(1).count():
+            for n in "ab":
+                found = found.join(comp.select(F.col("cls").alias(n), F.col("comp").alias(f"_{n}")), n)
+            known = components(scratch, found.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("id").alias("comp"), F.col("comp").alias("now"))
+            comp = scratch.cut(comp.join(few(known), "comp", "left").select("cls", F.coalesce("now", "comp").alias("comp")))
         scratch.release()
 
     def open_lists() -> DataFrame:
