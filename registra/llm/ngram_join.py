@@ -5,7 +5,8 @@ difference is at most H agree in one of more than H segments (pigeonhole), so se
 of the segment). A segment is worth 1 to a set if its exact content is looked up, 2 if contents that lack one shingle are
 looked up too, and 0 if it is left out; any allocation whose sum passes H loses no link. Costs decide: first every segment
 that isn't empty is worth 1; a segment whose content very many unlinked sets share is worth 0; only sets whose sum then
-falls short get the one-deletion neighbourhoods of their other segments. Candidates are verified on whole texts.
+falls short are met otherwise: by the shingles that few of them hold, counted exactly, and, where at least the likeness asked
+for lies in usual shingles, by the one-deletion neighbourhoods of all their segments. Candidates are verified on whole texts.
 
 Equal sets form a class and are represented once. Lists of classes are first tested as stars (a centre against the rest),
 and a list whose members are all connected needs no further pair, so groups of copies cost rows in proportion to their size.
