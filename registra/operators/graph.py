@@ -98,3 +98,19 @@ def sccs(edges: DataFrame) -> DataFrame:
         ids = cut(ids.join(part, "id", "left_anti"))
         e = cut(e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("tgt")), "tgt", "left_semi"))
     return found if found is not None else ids.withColumn("component", F.col("id"))
+
+
+def topological(edges: DataFrame) -> DataFrame:
+    """(id, layer): nodes with edges by the length of the longest way to them, peeled layer by layer; what lies on or behind a cycle has none and is left out. Each round reads the links that the last layer uncovers."""
+    e = cut(edges.select("src", "tgt").distinct())
+    need = cut(e.groupBy(F.col("tgt").alias("id")).agg(F.count("*").alias("need")))
+    front = out = cut(e.select(F.col("src").alias("id")).distinct().join(need, "id", "left_anti").withColumn("layer", F.lit(0)))
+    layer = 0
+    while front.limit(1).count():
+        layer += 1
+        done = e.join(front.select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("tgt").alias("id")).agg(F.count("*").alias("done"))
+        need = cut(need.join(done, "id", "left").select("id", (F.col("need") - F.coalesce("done", F.lit(0))).alias("need")))
+        front = cut(need.filter("need = 0").select("id", F.lit(layer).alias("layer")))
+        need = need.filter("need > 0")
+        out = out.union(front)
+    return out

@@ -11,6 +11,7 @@ from ..functions.predicates import condition, filters
 from ..model import NodeKind, Profile, Register, attrs, edge, literal, node
 from ..operators import graph
 from ..operators import relations as rel
+from ..operators import reports
 from . import validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +288,146 @@ def _validate(spark, d):
     return validate.validate(shop(spark, d), p, strict=True).groupBy("code", "severity", "suppressed").agg(F.count("*").alias("n"))
 
 
+_KINDS, _FINDINGS = SQL["A1_counts"], SQL["R1_validate"]
+
+
+@query("A3_scope", f"SELECT what, kind, n, (n > 0)::BIGINT AS files FROM ({_KINDS})")
+def _scope(spark, d):
+    return reports.scope(shop(spark, d), SHOP)
+
+
+@query("R6_describe", f"SELECT what, kind, 'table' AS file, n FROM ({_KINDS}) WHERE n > 0")
+def _describe(spark, d):
+    return reports.described(shop(spark, d))
+
+
+@query("J14_schema_counts", """
+SELECT 'in_region' AS kind, 'nation' AS src_kind, 'region' AS tgt_kind, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'in_nation', 'customer', 'nation', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'placed_by', 'order', 'customer', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'of_order', 'line', 'order', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'of_part', 'line', 'part', count(*) FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def _schema_counts(spark, d):
+    return reports.schema_counts(shop(spark, d, open_orders=False), SHOP)
+
+
+@query("J15_expected_missing", """
+SELECT 'N-' || n_nationkey AS id, 'out' AS side, 'in_region' AS kind, 'region' AS far_kind FROM nation WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_regionkey = n_regionkey)
+UNION ALL SELECT 'R-' || r_regionkey, 'in', 'in_region', 'nation' FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey)
+UNION ALL SELECT 'C-' || c_custkey, 'out', 'in_nation', 'nation' FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey)
+UNION ALL SELECT 'N-' || n_nationkey, 'in', 'in_nation', 'customer' FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey)
+UNION ALL SELECT 'O-' || o_orderkey, 'out', 'placed_by', 'customer' FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
+UNION ALL SELECT 'C-' || c_custkey, 'in', 'placed_by', 'order' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+UNION ALL SELECT DISTINCT 'L-' || l_orderkey || '-' || l_linenumber, 'out', 'of_order', 'order' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
+UNION ALL SELECT 'O-' || o_orderkey, 'in', 'of_order', 'line' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL SELECT DISTINCT 'L-' || l_orderkey || '-' || l_linenumber, 'out', 'of_part', 'part' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
+UNION ALL SELECT 'P-' || p_partkey, 'in', 'of_part', 'line' FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)""")
+def _expected_missing(spark, d):
+    return reports.expected_missing(shop(spark, d), SHOP)
+
+
+def _suppliers_off(spark, d) -> tuple[Register, DataFrame]:
+    r = shop(spark, d)
+    return r, rel._union(validate.edge_checks(r, SHOP)).filter("code = 'EDGE_CONSTRAINT'").withColumn("suppressed", F.lit(False))
+
+
+@query("A9_structural_summary", f"SELECT what, kind, NULL::VARCHAR AS severity, n FROM ({_KINDS}) UNION ALL SELECT 'finding', 'EDGE_CONSTRAINT', 'error', count(*) FROM supplier")
+def _summary(spark, d):
+    r, f = _suppliers_off(spark, d)
+    return reports.summary(r, SHOP, f)
+
+
+@query("A10_by_severity", "SELECT 'error' AS severity, count(*) AS n FROM supplier UNION ALL SELECT unnest(['warning', 'info', 'hint']), 0::BIGINT")
+def _by_severity(spark, d):
+    return reports.by_severity(_suppliers_off(spark, d)[1])
+
+
+@query("A11_worst", f"""
+WITH f AS (SELECT 'O-' || o_orderkey AS id, 0 AS r FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT node_id, 1 FROM ({SQL["V10_V11_referenced"]}))
+SELECT id, CASE min(r) WHEN 0 THEN 'error' ELSE 'warning' END AS worst, count(*) AS n FROM f GROUP BY id""")
+def _worst(spark, d):
+    r = shop(spark, d)
+    p = Profile(SHOP.node_kinds, SHOP.edge_kinds, validations=({"code": "CONSTRAINT", "node_kind": "order", "reject": {"status": {"eq": "P"}}, "severity": "error"},))
+    return reports.worst(rel._union([*validate.rule_checks(r, p), *validate.node_checks(r, p)]).filter("code in ('CONSTRAINT', 'UNREFERENCED', 'UNTRACED')"))
+
+
+@query("R2_trace", """
+SELECT 'O-' || o_orderkey AS id, 'outgoing' AS part, 'placed_by' AS what, 'C-' || o_custkey AS far FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT 'C-' || c_custkey, 'incoming', 'placed_by', 'O-' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'S-' || s_suppkey, 'finding', 'EDGE_CONSTRAINT', 'error' FROM supplier""")
+def _trace(spark, d):
+    _, f = _suppliers_off(spark, d)
+    r = shop(spark, d, open_orders=False)
+    return reports.trace(Register(r.nodes, r.edges.filter("kind = 'placed_by'")), f)[0].select("id", "part", "what", "far")
+
+
+@query("P19_at", "SELECT event_id::VARCHAR AS id FROM events WHERE event_type = 'view' UNION ALL SELECT event_id::VARCHAR FROM events WHERE event_type = 'click' AND user_id % 3 = 1")
+def _at(spark, d):
+    e = table(spark, d, "events")
+    n = e.select(F.col("event_id").cast("string").alias("id"), F.concat(F.lit("log/"), "event_type", F.lit("/"), (F.col("user_id") % 3).cast("string")).alias("file"))
+    return reports.at(n, "log/view").union(reports.at(n, "./log/click/1")).select("id")
+
+
+@query("P16_absent_attrs", "SELECT 'nosuch' AS attr")
+def _absent(spark, d):
+    return reports.absent_attrs(shop(spark, d).nodes, ["status", "nosuch", "brand"])
+
+
+@query("P20_summaries", "SELECT 'P-' || p_partkey AS id, p_brand AS summary FROM part UNION ALL SELECT 'S-' || s_suppkey, '' FROM supplier")
+def _summaries(spark, d):
+    p = Profile({"part": NodeKind(summary="brand"), "supplier": NodeKind()}, {})
+    return reports.summaries(shop(spark, d).nodes.filter("kind in ('part', 'supplier')"), p).select("id", "summary")
+
+
+def _rings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Parts in rings of four, and every second ring linked to the next; part 0 to 3 and the last, unfilled ring stay single."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    last = F.lit(p.agg(F.max("k")).first()[0] // 4 * 4)
+    name = lambda c: F.concat(F.lit("P-"), F.lpad(c.cast("string"), 9, "0"))
+    full = p.filter((F.col("k") >= 4) & (F.col("k") < last))
+    ring = full.select(name(F.col("k")).alias("src"), name(F.col("k") - F.pmod("k", F.lit(4)) + F.pmod(F.col("k") + 1, F.lit(4))).alias("tgt"))
+    link = full.filter((F.col("k") % 8 == 0) & (F.col("k") + 4 < last)).select(name(F.col("k")).alias("src"), name(F.col("k") + 4).alias("tgt"))
+    return p.select(name(F.col("k")).alias("id")), ring.union(link)
+
+
+_RINGS = "WITH p AS (SELECT p_partkey AS k, (SELECT max(p_partkey) FROM part) // 4 * 4 AS z FROM part), o AS (SELECT k, CASE WHEN k >= 4 AND k < z THEN k // 4 * 4 + 3 ELSE k END AS c, z FROM p)"
+
+
+@query("G8_components", _RINGS + " SELECT 'P-' || lpad(c::VARCHAR, 9, '0') AS component, count(*) AS size, count(*) > 1 AS cyclic, false AS self_loop FROM o GROUP BY c")
+def _components(spark, d):
+    return reports.components(*_rings(spark, d))[0]
+
+
+@query("G8_component_links", _RINGS + " SELECT 'P-' || lpad((k + 3)::VARCHAR, 9, '0') AS src, 'P-' || lpad((k + 7)::VARCHAR, 9, '0') AS tgt, 1::BIGINT AS n FROM o WHERE k % 8 = 0 AND k >= 4 AND k + 4 < z")
+def _component_links(spark, d):
+    return reports.components(*_rings(spark, d))[1]
+
+
+@query("G19_topological", "SELECT 'P-' || p_partkey AS id, (length(bin((SELECT max(p_partkey) FROM part) // p_partkey)) - 1)::INTEGER AS layer FROM part WHERE p_partkey > 0")
+def _topological(spark, d):
+    return graph.topological(_tree(spark, d))
+
+
+@query("J12_V23_notes", """
+SELECT 'EDGE_CONSTRAINT' AS code, 'S-' || s_suppkey AS node_id, CASE WHEN s_suppkey % 10 = 0 THEN 'known' END AS note, CASE WHEN s_suppkey % 10 = 0 THEN (s_suppkey % 20 = 0)::VARCHAR END AS expired FROM supplier
+UNION ALL SELECT 'NOTE_EXPIRED', 'S-' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 20 = 0 UNION ALL SELECT 'NOTE_UNUSED', 'S-' || s_suppkey, NULL, NULL FROM supplier WHERE s_suppkey % 10 = 1""")
+def _notes(spark, d):
+    s = table(spark, d, "supplier").filter("s_suppkey % 10 < 2")
+    code = F.when(F.col("s_suppkey") % 10 == 0, "EDGE_CONSTRAINT").otherwise("VACANCY")
+    until = F.when(F.col("s_suppkey") % 20 == 0, F.lit("2023-12-31")).otherwise(F.lit("2024-01-01")).cast("date")
+    notes = s.select(code.alias("code"), key("S-", "s_suppkey").alias("node_id"), F.lit("known").alias("text"), until.alias("until"))
+    f, more = reports.attach_notes(_suppliers_off(spark, d)[1], notes, F.lit("2024-01-01").cast("date"))
+    return f.select("code", "node_id", "note", F.col("expired").cast("string").alias("expired")).unionByName(more.select("code", "node_id"), allowMissingColumns=True)
+
+
+@query("V20_V22_stale_config", "SELECT 'warning' AS severity, 'PATHWAY_UNRESOLVED' AS code, 'no pathway gone' AS message UNION ALL SELECT 'info', 'OVERRIDE_UNUSED', 'nothing has the code NOT_SHIPPED'")
+def _stale(spark, d):
+    r, f = _suppliers_off(spark, d)
+    p = Profile(SHOP.node_kinds, SHOP.edge_kinds, overrides={"NOT_SHIPPED": "info", "COVERAGE": "error"}, pathway_bindings={"EDGE_CONSTRAINT": ("gone", "status"), "VACANCY": ("gone", "status"), "COVERAGE": ("priority", "priority")})
+    return reports.stale_config(f, r, p, set(validate.SEVERITY))
+
+
+@query("V24_suggested_edges", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'SUGGESTION_UNRESOLVED' ELSE 'SUGGESTED_EDGE' END AS code, 'O-' || o_orderkey AS node_id, 'placed_by to C-' || o_custkey || ', score 0.5000' AS message FROM orders")
+def _suggested(spark, d):
+    s = table(spark, d, "orders").select(key("O-", "o_orderkey").alias("src"), key("C-", "o_custkey").alias("tgt"), F.lit("placed_by").alias("kind"), F.lit(0.5).alias("score"))
+    return reports.suggestion_findings(shop(spark, d, open_orders=False), s).select("code", "node_id", "message")
