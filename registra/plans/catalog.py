@@ -213,6 +213,16 @@ def _reach(spark, d):
     return graph.layers(_tree(spark, d), "P-1", max_depth=4, reverse=True)
 
 
+@query("G3_layers", SQL["G1_reach"])
+def _layers(spark, d):
+    return graph.layers(_tree(spark, d), "P-1", max_depth=4, reverse=True)
+
+
+@query("G1_reach_all", "WITH RECURSIVE r AS (SELECT 1::BIGINT AS k, 0 AS depth UNION ALL SELECT p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = k AND p_partkey > 1) SELECT 'P-' || k AS id, depth FROM r WHERE depth > 0")
+def _reach_all(spark, d):
+    return graph.reach(table(spark, d, "part").select(key("P-", "p_partkey").alias("id")), _tree(spark, d), "P-1", reverse=True)
+
+
 @query("G2_taint", "WITH RECURSIVE r AS (SELECT 'C-1' AS id UNION SELECT 'O-' || o_orderkey FROM r JOIN orders ON 'C-' || o_custkey = r.id UNION SELECT 'L-' || l_orderkey || '-' || l_linenumber FROM r JOIN lineitem ON 'O-' || l_orderkey = r.id), c AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 1) SELECT DISTINCT 'L-' || l_orderkey || '-' || l_linenumber AS id, o_orderstatus = 'P' AS tainted FROM c JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 'O-' || o_orderkey, false FROM c WHERE o_orderstatus <> 'P'")
 def _taint(spark, d):
     r = shop(spark, d, open_orders=False)
@@ -224,6 +234,12 @@ def _path(spark, d):
     return graph.path(_tree(spark, d), "P-13", "P-1").select(F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ",").alias("kinds"))
 
 
+@query("G5_path_all", "WITH RECURSIVE w AS (SELECT max(p_partkey) AS k, 'P-' || max(p_partkey) AS nodes, '' AS kinds FROM part UNION ALL SELECT k // 2, nodes || '>P-' || (k // 2), kinds || CASE WHEN kinds = '' THEN '' ELSE ',' END || 'derives' FROM w WHERE k > 1) SELECT nodes, kinds FROM w WHERE k = 1")
+def _path_all(spark, d):
+    last = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    return graph.path(_tree(spark, d), f"P-{last}", "P-1").select(F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ",").alias("kinds"))
+
+
 @query("G7_scc", "SELECT 'P-' || lpad(p_partkey::VARCHAR, 9, '0') AS id, 'P-' || lpad(max(p_partkey) OVER (PARTITION BY p_partkey // 4)::VARCHAR, 9, '0') AS component FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part) // 4 * 4 AND p_partkey >= 4")
 def _scc(spark, d):
     p = table(spark, d, "part")
