@@ -74,19 +74,26 @@ def unattributed(r: Register, p: Profile, edge_kind: str, source_where: Column |
     return g.select("*", percent(F.col("unattributed"), F.col("total")).alias("pct"), F.when(F.col("unattributed") == 0, "unverified").otherwise("unknown").alias("state"))
 
 
-def edge_counts(r: Register, node_kind: str, edge_kind: str, direction: str = "out", group_by: str | None = None, where: Column | None = None) -> DataFrame:
-    """Edges of a kind at each node of a kind, 0 included; with group_by, for each value of the far end's attribute that is reached. Both ends must be declared."""
+def edge_ends(r: Register, node_kind: str, edge_kind: str, direction: str = "out", group_by: str | None = None, where: Column | None = None) -> DataFrame:
+    """Edges of a kind at nodes of a kind, both ends declared: id, far, value, src, tgt, file, line, ord. value: the far end's attribute; null where it is absent or null, and without group_by."""
     near, far = ("src", "tgt") if direction == "out" else ("tgt", "src")
-    e = r.edges.filter(F.col("kind") == edge_kind).select(F.col(near).alias("id"), F.col(far).alias("far"))
-    e = e.join(r.nodes.select(F.col("id").alias("far"), F.col("attrs").alias("far_attrs")), "far")
+    n = r.nodes.filter(F.col("kind") == node_kind)
+    n = n.filter(where) if where is not None else n
+    e = r.edges.filter(F.col("kind") == edge_kind).select(F.col(near).alias("id"), F.col(far).alias("far"), "src", "tgt", "file", "line", "ord")
+    e = e.join(n.select("id"), "id").join(r.nodes.select(F.col("id").alias("far"), F.col("attrs").alias("far_attrs")), "far")
     value = F.col("far_attrs")[group_by] if group_by else F.lit(None).cast("string")
-    e = e.select("id", value.alias("value"))
-    if group_by:
-        e = e.filter("value is not null and value <> 'null'")
-    g = e.groupBy("id", "value").agg(F.count("*").alias("n"))
+    return e.select("id", "far", F.when(value != "null", value).alias("value"), "src", "tgt", "file", "line", "ord")
+
+
+def edge_counts(r: Register, node_kind: str, edge_kind: str, direction: str = "out", group_by: str | None = None, where: Column | None = None) -> DataFrame:
+    """Edges of a kind at each node of a kind, 0 included; with group_by, for each value of the far end's attribute that is reached: edges without a value are in no group, and a node has 0 only if it has no edge. Both ends must be declared."""
+    g = edge_ends(r, node_kind, edge_kind, direction, group_by, where).groupBy("id", "value").agg(F.count("*").alias("n"))
     n = r.nodes.filter(F.col("kind") == node_kind)
     n = n.filter(where) if where is not None else n
-    return n.select("id").join(g, "id", "left").select("id", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    n = n.select("id").join(g, "id", "left")
+    if group_by:
+        n = n.filter("n is null or value is not null")
+    return n.select("id", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def rollup(r: Register, kind: str, status: str, group_by: str, values: list[str] | None = None) -> DataFrame:

@@ -169,6 +169,16 @@ def _edge_count_grouped(spark, d):
     return rel.edge_counts(shop(spark, d), "customer", "placed_by", "in", "status").select(F.col("id").alias("node_id"), "value", "n")
 
 
+@query("V17_edge_count_grouped", "SELECT 'C-' || c_custkey AS node_id, CASE WHEN o_orderstatus <> 'P' THEN count(*) ELSE 0 END AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN o_orderkey END HAVING o_orderstatus = 'P' OR count(*) > 5")
+def _edge_count_rule(spark, d):
+    """Orders of status P have no status here, so each of them is a finding of its own, with 0 for its count."""
+    r = shop(spark, d)
+    n = r.nodes.withColumn("attrs", F.when(condition("status", "eq", "P"), F.map_filter("attrs", lambda k, _: k != "status")).otherwise(F.col("attrs")))
+    p = Profile(SHOP.node_kinds, SHOP.edge_kinds, validations=({"code": "EDGE_COUNT", "node_kind": "customer", "edge_kind": "placed_by", "direction": "in", "group_by": "status", "max": 5},))
+    f = rel._union(validate.rule_checks(Register(n, r.edges), p))
+    return f.select("node_id", F.expr("coalesce(try_cast(regexp_extract(message, 'has ([0-9]+) incoming', 1) as bigint), 0)").alias("n"))
+
+
 @query("A7_rollup", "SELECT o_orderpriority AS grp, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P, 0::BIGINT AS X FROM orders GROUP BY 1")
 def _rollup(spark, d):
     return rel.rollup(shop(spark, d, line_nodes=False), "order", "status", "priority", ["F", "O", "P", "X"])

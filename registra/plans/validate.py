@@ -84,15 +84,35 @@ def _both(blocks: dict, sides: dict[str, Column], expect: bool) -> Column:
     return reduce(lambda a, b: a & b, (block(c, sides[s], expect) for s, c in blocks.items()), F.lit(True))
 
 
+def _edge_count(r: Register, p: Profile, v: dict, where: Column | None) -> list[DataFrame]:
+    """Counts out of bounds, with the far ends in order of declaration; and edges that group_by finds no value for. Ends of unknown kinds count for nothing."""
+    group, low, high = v.get("group_by"), v.get("min"), v.get("max")
+    r = Register(r.nodes.filter(F.col("kind").isin(*p.node_kinds)), r.edges)
+    at = (r, v["node_kind"], v["edge_kind"], v.get("direction", "out"), group, where)
+    way, far = ("outgoing", "target") if at[3] == "out" else ("incoming", "source")
+    off = (F.col("n") < F.lit(low or 0)) | (F.col("n") > F.lit(1 << 62 if high is None else high))
+    bounds = "any count" if low is None and high is None else f"at most {high}" if low is None else f"at least {low}" if high is None else f"exactly {low}" if low == high else f"{low} to {high}"
+    c, e = rel.edge_counts(*at).filter(off), rel.edge_ends(*at)
+    same = (F.col("c.id") == F.col("e.id")) & F.col("c.value").eqNullSafe(F.col("e.value"))
+    ends = F.transform(F.array_sort(F.collect_list(F.when(F.col("e.id").isNotNull(), F.struct("e.ord", "e.line", "e.far", "e.file")))), lambda x: _say("'", x.far, "' (", x.file, ":", x.line.cast("string"), ")"))
+    c = c.alias("c").join(e.alias("e"), same, "left").groupBy("c.id", "c.value", "c.n").agg(F.array_join(ends, ", ").alias("ends"))
+    of = F.when(F.col("value").isNull(), "").otherwise(_say(f" to a {far} with '{group}' = ", F.col("value")))
+    tail = F.when(F.col("ends") == "", "").otherwise(_say(": ", F.col("ends")))
+    c = c.join(r.nodes.select("id", "file", "line"), "id")
+    out = [_finding(c, "EDGE_COUNT", _say("node '", F.col("id"), "' has ", F.col("n").cast("string"), f" {way} '{v['edge_kind']}' edge(s)", of, f", expected {bounds}", tail), F.col("id"), v.get("severity"))]
+    if group:
+        why = _say("edge '", F.col("src"), "'->'", F.col("tgt"), f"' (kind '{v['edge_kind']}'): {far} '", F.col("far"), f"' has no '{group}' attr to group by")
+        out.append(_finding(e.filter("value is null"), "EDGE_COUNT", why, F.col("id"), v.get("severity")))
+    return out
+
+
 def rule_checks(r: Register, p: Profile) -> list[DataFrame]:
     out = []
     for v in p.validations:
         severity, code = v.get("severity"), v["code"]
         where = block(v["where"]) if v.get("where") else None
         if code == "EDGE_COUNT":
-            c = rel.edge_counts(r, v["node_kind"], v["edge_kind"], v.get("direction", "out"), v.get("group_by"), where)
-            off = (F.col("n") < F.lit(v.get("min", 0))) | (F.col("n") > F.lit(v.get("max", 1 << 62)))
-            out.append(_finding(c.filter(off), code, _say(F.col("n").cast("string"), f" {v['edge_kind']} edges"), F.col("id"), severity))
+            out += _edge_count(r, p, v, where)
         elif code == "COVERAGE":
             sw = block(v["source_where"]) if v.get("source_where") else None
             out.append(_finding(rel.uncovered(r, v["target_kind"], v["edge_kind"], where, sw), code, _say(f"no {v['edge_kind']} edge"), F.col("id"), severity))

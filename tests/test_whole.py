@@ -1,11 +1,34 @@
 """Whole answers where the code once gave a part."""
 
+from registra.model import EDGE, NODE, NodeKind, Profile, Register
+from registra.plans import validate
 from registra.plans.catalog import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
+def nodes(spark, *rows):
+    return spark.createDataFrame([(i, k, a, "f", n, n) for n, (i, k, a) in enumerate(rows)], NODE)
+
+
+def edges(spark, *rows):
+    return spark.createDataFrame([(s, t, k, {}, "g", n, n) for n, (s, t, k) in enumerate(rows)], EDGE)
+
+
 def test_reach_has_no_depth_limit(spark):
     n = spark.read.parquet(f"{DATA}/part.parquet").filter("p_partkey > 1").count()
     got = QUERIES["G1_reach_all"](spark, DATA)
     assert got.count() == n > 30 and got.agg({"depth": "max"}).first()[0] > 4
+
+
+def test_edge_count_reports_edges_without_a_group(spark):
+    p = Profile({"x": NodeKind(), "y": NodeKind()}, {"k": [("x", "y")]}, validations=({"code": "EDGE_COUNT", "node_kind": "x", "edge_kind": "k", "group_by": "v", "min": 1, "max": 1},))
+    n = nodes(spark, ("a", "x", {}), ("b", "x", {}), ("c", "x", {}), ("n", "y", {"v": "null"}), ("o", "y", {}), ("p", "y", {"v": "1"}), ("q", "y", {"v": "1"}), ("z", "odd", {}))
+    e = edges(spark, ("a", "n", "k"), ("a", "o", "k"), ("b", "q", "k"), ("b", "p", "k"), ("b", "o", "k"), ("b", "z", "k"), ("b", "gone", "k"))
+    got = sorted((r.node_id, r.message, r.file, r.line) for r in validate.rule_checks(Register(n, e), p)[0].union(validate.rule_checks(Register(n, e), p)[1]).collect())
+    lacks = lambda s, t: f"edge '{s}'->'{t}' (kind 'k'): target '{t}' has no 'v' attr to group by"
+    assert got == [
+        ("a", lacks("a", "n"), "g", 0), ("a", lacks("a", "o"), "g", 1), ("b", lacks("b", "o"), "g", 4),
+        ("b", "node 'b' has 2 outgoing 'k' edge(s) to a target with 'v' = 1, expected exactly 1: 'q' (g:2), 'p' (g:3)", "f", 1),
+        ("c", "node 'c' has 0 outgoing 'k' edge(s), expected exactly 1", "f", 2),
+    ]
