@@ -71,6 +71,22 @@ def deep_uncovered(targets: DataFrame, via: DataFrame, evidenced: DataFrame) ->
     return targets.select("id").distinct().join(covered, "id", "left_anti")
 
 
+def uncovered_causes(uncovered: DataFrame, via: DataFrame) -> DataFrame:
+    """(id, members, children) for each of deep_uncovered's targets: the sorted members of its cycle of uncovered targets, if it is on one, and its sorted uncovered children; null where there are none. Each member of a cycle names all of them."""
+    ids = cut(uncovered.select("id"))
+    within = lambda e, n: e.join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("tgt")), "tgt", "left_semi")
+    bad = core = cut(within(via.select("src", "tgt").distinct(), ids))
+    for e in (lambda: core, lambda: core.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))):  # what isn't between cycles goes before components are sought
+        tree = topological(e()).select("id")
+        core = cut(core.join(tree.select(F.col("id").alias("src")), "src", "left_anti").join(tree.select(F.col("id").alias("tgt")), "tgt", "left_anti"))
+    of = cut(sccs(core))
+    loops = bad.filter("src = tgt").select(F.col("src").alias("id"))
+    rings = of.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    rings = of.join(rings, "component").join(loops.withColumn("loop", F.lit(True)), "id", "left").filter("size(members) > 1 or loop").select("id", "members")
+    kids = bad.groupBy(F.col("tgt").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("children"))
+    return ids.join(rings, "id", "left").join(kids, "id", "left")
+
+
 def sccs(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of nodes with edges, named by their greatest id.
 

@@ -64,9 +64,9 @@ def uncovered(r: Register, target_kind: str, edge_kind: str, where: Column | Non
     return (targets.filter(where) if where is not None else targets).join(covered, "id", "left_anti")
 
 
-def unattributed(r: Register, p: Profile, edge_kind: str, source_where: Column | None = None) -> DataFrame:
-    """How many admitted sources there are and how many of them have no edge of the kind: one row (total, unattributed, pct, state)."""
-    kinds = sorted({s for s, _ in p.edge_kinds[edge_kind]})
+def unattributed(r: Register, p: Profile, edge_kind: str, source_where: Column | None = None, target_kind: str | None = None) -> DataFrame:
+    """How many admitted sources (of target_kind, if given) there are and how many of them have no edge of the kind: one row (total, unattributed, pct, state)."""
+    kinds = sorted({s for s, t in p.edge_kinds[edge_kind] if target_kind in (None, t)})
     s = r.nodes.filter(F.col("kind").isin(*kinds))
     s = s.filter(source_where) if source_where is not None else s
     used = r.edges.filter(F.col("kind") == edge_kind).select(F.col("src").alias("id")).distinct().withColumn("used", F.lit(True))

@@ -269,6 +269,22 @@ def _deep(spark, d):
     return graph.deep_uncovered(table(spark, d, "part").select(key("P-", "p_partkey").alias("id")), _tree(spark, d), proof)
 
 
+@query("V14_coverage_deep", """
+WITH RECURSIVE m AS (SELECT max(p_partkey) AS n FROM part), ev AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 9 <> 0),
+bad AS (SELECT p_partkey AS k FROM part, m WHERE (2 * p_partkey > n OR p_partkey = 0) AND p_partkey NOT IN (SELECT k FROM ev) UNION SELECT k // 2 FROM bad WHERE k > 1 AND k // 2 NOT IN (SELECT k FROM ev)),
+kids AS (SELECT k // 2 AS k, string_agg('''P-' || k || '''', ', ' ORDER BY 'P-' || k) AS list FROM bad WHERE k > 1 GROUP BY 1)
+SELECT 'COVERAGE_DEEP' AS code, 'P-' || p_partkey AS node_id, 'node ''P-' || p_partkey || ''' (kind ''part'') is not deep-covered: ' || coalesce('uncovered children: ' || list, 'no evidence and no children') AS message FROM part JOIN bad ON bad.k = p_partkey LEFT JOIN kids ON kids.k = p_partkey WHERE p_size >= 10
+UNION ALL SELECT 'COVERAGE_UNKNOWN', '', count(*) FILTER (o_orderkey % 9 = 0) || ' of ' || count(*) || ' sources have no tests edge; deep coverage of part is unknown' FROM orders WHERE o_orderstatus = 'F' HAVING count(*) FILTER (o_orderkey % 9 = 0) > 0""")
+def _deep_rule(spark, d):
+    """Orders test the part of their own number. Part 0 is nobody's parent."""
+    r = shop(spark, d)
+    tests = edge(table(spark, d, "orders").filter("o_orderkey % 9 <> 0"), key("O-", "o_orderkey"), key("P-", "o_orderkey"), "tests")
+    t = _tree(spark, d)
+    r = Register(r.nodes.filter("kind in ('part', 'order')"), tests.unionByName(edge(t, F.col("src"), F.col("tgt"), "derives")))
+    p = Profile(SHOP.node_kinds, {"tests": [("order", "part")], "derives": [("part", "part")]}, validations=({"code": "COVERAGE_DEEP", "target_kind": "part", "via": "derives", "evidence": "tests", "where": {"size": {"gte": 10}}, "source_where": {"status": {"eq": "F"}}},))
+    return rel._union(validate.rule_checks(r, p)).select("code", F.coalesce("node_id", F.lit("")).alias("node_id"), "message")
+
+
 @query("J8_fuse", "SELECT count(*) FILTER (c_custkey IS NOT NULL) AS resolved, count(*) FILTER (c_custkey IS NULL) AS unresolved FROM events LEFT JOIN customer ON c_custkey = user_id")
 def _fuse(spark, d):
     c = table(spark, d, "customer")

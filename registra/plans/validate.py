@@ -106,6 +106,24 @@ def _edge_count(r: Register, p: Profile, v: dict, where: Column | None) -> list[
     return out
 
 
+def _coverage_deep(r: Register, p: Profile, v: dict, where: Column | None) -> list[DataFrame]:
+    """Coverage rolls up over all targets, whatever where says; where picks those that are reported. Sources that source_where refuses prove nothing."""
+    t = r.nodes.filter(F.col("kind") == v["target_kind"])
+    via = r.edges.filter(F.col("kind") == v["via"]) if v["via"] != v["evidence"] else r.edges.filter("false")
+    inside = t.select("id")
+    via = via.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("tgt")), "tgt", "left_semi")
+    sw = block(v["source_where"]) if v.get("source_where") else None
+    sources = r.nodes.filter(sw) if sw is not None else r.nodes
+    proof = r.edges.filter(F.col("kind") == v["evidence"]).join(sources.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("tgt").alias("id"))
+    shown = t.filter(where) if where is not None else t
+    f = shown.join(graph.uncovered_causes(graph.deep_uncovered(inside, via, proof), via), "id")
+    quoted = F.array_join(F.transform("children", lambda x: _say("'", x, "'")), ", ")
+    why = F.when(F.col("members").isNotNull(), _say(f"in an uncovered '{v['via']}' cycle: ", F.array_join("members", ", "))).when(F.col("children").isNotNull(), _say("uncovered children: ", quoted)).otherwise("no evidence and no children")
+    u = rel.unattributed(r, p, v["evidence"], sw, v["target_kind"]).filter("unattributed > 0")
+    unknown = _say(F.col("unattributed").cast("string"), " of ", F.col("total").cast("string"), f" sources have no {v['evidence']} edge; deep coverage of {v['target_kind']} is unknown")
+    return [_finding(f, "COVERAGE_DEEP", _say("node '", F.col("id"), f"' (kind '{v['target_kind']}') is not deep-covered: ", why), F.col("id"), v.get("severity")), _finding(u, "COVERAGE_UNKNOWN", unknown)]
+
+
 def rule_checks(r: Register, p: Profile) -> list[DataFrame]:
     out = []
     for v in p.validations:
@@ -119,12 +137,7 @@ def rule_checks(r: Register, p: Profile) -> list[DataFrame]:
             u = rel.unattributed(r, p, v["edge_kind"], sw).filter("unattributed > 0")
             out.append(_finding(u, "COVERAGE_UNKNOWN", _say(F.col("unattributed").cast("string"), " of ", F.col("total").cast("string"), f" sources have no {v['edge_kind']} edge")))
         elif code == "COVERAGE_DEEP":
-            t = r.nodes.filter(F.col("kind") == v["target_kind"])
-            via = r.edges.filter(F.col("kind") == v["via"]) if v["via"] != v["evidence"] else r.edges.filter("false")
-            inside = t.select("id")
-            via = via.join(inside.select(F.col("id").alias("src")), "src", "left_semi").join(inside.select(F.col("id").alias("tgt")), "tgt", "left_semi")
-            proof = r.edges.filter(F.col("kind") == v["evidence"]).join(r.nodes.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("tgt").alias("id"))
-            out.append(_finding(t.join(graph.deep_uncovered(inside, via, proof), "id", "left_semi"), code, _say("neither it nor what it is made of is covered"), F.col("id"), severity))
+            out += _coverage_deep(r, p, v, where)
         elif code == "CONSTRAINT":
             mine = r.nodes.filter((F.col("kind") == v["node_kind"]) & block(v.get("when", {})))
             why = F.coalesce(first_failing(v.get("expect", {})), first_failing(v.get("reject", {}), expect=False))

@@ -32,3 +32,16 @@ def test_edge_count_reports_edges_without_a_group(spark):
         ("b", "node 'b' has 2 outgoing 'k' edge(s) to a target with 'v' = 1, expected exactly 1: 'q' (g:2), 'p' (g:3)", "f", 1),
         ("c", "node 'c' has 0 outgoing 'k' edge(s), expected exactly 1", "f", 2),
     ]
+
+
+def test_deep_coverage_heeds_where_and_source_where_and_names_causes(spark):
+    v = {"code": "COVERAGE_DEEP", "target_kind": "x", "via": "v", "evidence": "e", "where": {"skip": {"ne": True}}, "source_where": {"old": {"ne": True}}}
+    p = Profile({"x": NodeKind(), "s": NodeKind()}, {"v": [("x", "x")], "e": [("s", "x")]}, validations=(v,))
+    n = nodes(spark, *((i, "x", {"skip": "true"} if i == "h" else {}) for i in "abcdefghi"), ("s", "s", {}), ("t", "s", {"old": "true"}), ("u", "s", {}))
+    e = edges(spark, ("b", "a", "v"), ("c", "a", "v"), ("h", "a", "v"), ("d", "e", "v"), ("e", "d", "v"), ("e", "g", "v"), ("f", "f", "v"), ("c", "i", "v"), ("s", "c", "e"), ("t", "b", "e"), ("t", "h", "e"))
+    got = {(r.code, r.node_id, r.message.split(": ", 1)[-1]) for r in validate.rule_checks(Register(n, e), p)[0].union(validate.rule_checks(Register(n, e), p)[1]).collect()}
+    assert got == {
+        ("COVERAGE_DEEP", "a", "uncovered children: 'b', 'h'"), ("COVERAGE_DEEP", "b", "no evidence and no children"), ("COVERAGE_DEEP", "d", "in an uncovered 'v' cycle: d, e"),
+        ("COVERAGE_DEEP", "e", "in an uncovered 'v' cycle: d, e"), ("COVERAGE_DEEP", "f", "in an uncovered 'v' cycle: f"), ("COVERAGE_DEEP", "g", "uncovered children: 'e'"),
+        ("COVERAGE_UNKNOWN", None, "1 of 2 sources have no e edge; deep coverage of x is unknown"),
+    }
