@@ -22,8 +22,9 @@ GATING = "severity = 'error' and not suppressed"
 
 
 def _finding(df: DataFrame, code: str, message: Column, node_id: Column | None = None, severity: str | None = None) -> DataFrame:
+    """own: the severity is stated by the entry itself, so no override of the code changes it."""
     at = [F.col(c) if c in df.columns else F.lit(d) for c, d in (("file", "<profile>"), ("line", 0))]
-    return df.select(F.lit(severity or SEVERITY[code]).alias("severity"), F.lit(code).alias("code"), message.alias("message"), (F.lit(None).cast("string") if node_id is None else node_id).alias("node_id"), at[0].alias("file"), at[1].cast("bigint").alias("line"))
+    return df.select(F.lit(severity is not None).alias("own"), F.lit(severity or SEVERITY[code]).alias("severity"), F.lit(code).alias("code"), message.alias("message"), (F.lit(None).cast("string") if node_id is None else node_id).alias("node_id"), at[0].alias("file"), at[1].cast("bigint").alias("line"))
 
 
 def _say(*parts) -> Column:
@@ -155,7 +156,7 @@ def collect(r: Register, p: Profile) -> DataFrame:
     r = Register(first, r.edges, r.pathways, r.findings)
     parts = [*empty_kinds(r, p), *node_checks(r, p), *edge_checks(r, p), *rule_checks(r, p), _finding(repeats, "PARSE_ERROR", _say("declared again"), F.col("id"))]
     if r.findings is not None:
-        parts.append(r.findings.select(*FINDING))
+        parts.append(r.findings.select(F.lit(False).alias("own"), *FINDING))
     return rel._union(parts)
 
 
@@ -173,22 +174,42 @@ def demote(findings: DataFrame, r: Register, bindings: dict[str, tuple[str, str]
     return f.drop("_a")
 
 
+def _unused(f: DataFrame, p: Profile) -> DataFrame:
+    """SUPPRESS_UNUSED for each entry with a node, or without nodes a code, that no finding has; entries for SUPPRESS_UNUSED itself are judged last and see the others' findings."""
+    spark, code = f.sparkSession, "SUPPRESS_UNUSED"
+    severity = p.overrides.get(code, SEVERITY[code])
+    out = None
+    for own in (False, True):
+        entries = [(at, c, i) for at, (c, ids) in enumerate(p.suppressions) if (c == code) == own for i in (ids or [None])]
+        if not entries:
+            continue
+        wanted = spark.createDataFrame(entries, "at int, code string, node_id string")
+        seen = f.select("code", "node_id") if out is None else f.select("code", "node_id").union(out.select("code", "node_id"))
+        seen = seen.join(F.broadcast(wanted.select("code").distinct()), "code", "left_semi").distinct()
+        parts = []  # each reads all findings, so only those that are needed
+        if any(i is not None for *_, i in entries):
+            parts.append(wanted.filter("node_id is not null").join(seen, ["code", "node_id"], "left_anti").select("at", "code", "node_id"))
+        if any(i is None for *_, i in entries):
+            parts.append(wanted.filter("node_id is null").join(seen.select("code").distinct(), "code", "left_anti").select("at", "code", "node_id"))
+        gone = rel._union(parts)
+        gone = gone.groupBy("at", "code").agg(F.array_join(F.array_sort(F.collect_set("node_id")), ", ").alias("ids"))
+        new = _finding(gone, code, _say("nothing to suppress: ", F.col("code"), F.when(F.col("ids") == "", "").otherwise(_say(" at ", F.col("ids")))), severity=severity)
+        out = new if out is None else out.unionByName(new)
+    return out
+
+
 def finish(findings: DataFrame, r: Register, p: Profile, strict: bool = False) -> DataFrame:
-    """Overrides (a hint is never promoted), pathways, strict, suppression, in this order; and what in the profile matched nothing."""
-    spark = findings.sparkSession
-    f = findings
+    """Overrides (a hint is never promoted, an entry's own severity stays), pathways, strict, suppression, in this order; and what in the profile matched nothing."""
+    f = findings if "own" in findings.columns else findings.withColumn("own", F.lit(False))
     for code, severity in p.overrides.items():
-        f = f.withColumn("severity", F.when((F.col("code") == code) & (F.col("severity") != "hint"), severity).otherwise(F.col("severity")))
+        f = f.withColumn("severity", F.when((F.col("code") == code) & (F.col("severity") != "hint") & ~F.col("own"), severity).otherwise(F.col("severity")))
     f = demote(f, r, p.pathway_bindings)
+    if p.suppressions:
+        f = f.unionByName(_unused(f, p))
     if strict:
         f = f.withColumn("severity", F.when(F.col("severity") == "warning", "error").otherwise(F.col("severity")))
     hit = reduce(lambda a, b: a | b, ((F.col("code") == c) & (F.col("node_id").isin(*ids) if ids else F.lit(True)) for c, ids in p.suppressions), F.lit(False))
-    f = f.withColumn("suppressed", F.coalesce(hit, F.lit(False)))
-    if p.suppressions:
-        wanted = spark.createDataFrame([(c,) for c, _ in p.suppressions], "code string").distinct()
-        unused = wanted.join(f.filter("suppressed").select("code"), "code", "left_anti")
-        f = f.unionByName(_finding(unused, "SUPPRESS_UNUSED", _say("nothing to suppress: ", F.col("code"))).withColumn("suppressed", F.lit(False)))
-    return f
+    return f.drop("own").withColumn("suppressed", F.coalesce(hit, F.lit(False)))
 
 
 def validate(r: Register, p: Profile, strict: bool = False) -> DataFrame:

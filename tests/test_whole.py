@@ -45,3 +45,17 @@ def test_deep_coverage_heeds_where_and_source_where_and_names_causes(spark):
         ("COVERAGE_DEEP", "e", "in an uncovered 'v' cycle: d, e"), ("COVERAGE_DEEP", "f", "in an uncovered 'v' cycle: f"), ("COVERAGE_DEEP", "g", "uncovered children: 'e'"),
         ("COVERAGE_UNKNOWN", None, "1 of 2 sources have no e edge; deep coverage of x is unknown"),
     }
+
+
+def test_an_entrys_severity_wins_over_the_codes(spark):
+    v = {"code": "CONSTRAINT", "node_kind": "x", "expect": {"a": {"present": True}}}
+    p = Profile({"x": NodeKind()}, {"k": [("x", "x")]}, validations=({**v, "severity": "error"}, v), overrides={"CONSTRAINT": "info"})
+    f = validate.validate(Register(nodes(spark, ("a", "x", {})), edges(spark)), p)
+    assert sorted(r.severity for r in f.filter("code = 'CONSTRAINT'").collect()) == ["error", "info"] and validate.gate(f) == 1
+
+
+def test_suppressions_are_judged_by_node(spark):
+    p = Profile({"x": NodeKind("[a-z]")}, {"k": [("x", "x")]}, suppressions=(("ID_FORMAT", ["AA", "gone"]), ("ID_FORMAT", ["AA"]), ("UNTRACED", None), ("VACANCY", None), ("SUPPRESS_UNUSED", ["x"])))
+    f = validate.validate(Register(nodes(spark, ("AA", "x", {})), edges(spark)), p)
+    assert sorted(r.message for r in f.filter("code = 'SUPPRESS_UNUSED'").collect()) == ["nothing to suppress: ID_FORMAT at gone", "nothing to suppress: SUPPRESS_UNUSED at x", "nothing to suppress: VACANCY"]
+    assert {r.code for r in f.filter("suppressed").collect()} == {"ID_FORMAT", "UNTRACED"}
