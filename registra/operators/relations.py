@@ -96,16 +96,38 @@ def edge_counts(r: Register, node_kind: str, edge_kind: str, direction: str = "o
     return n.select("id", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rollup(r: Register, kind: str, status: str, group_by: str, values: list[str] | None = None) -> DataFrame:
-    """Long form of the status table: group, status, n, with declared values at 0; the wide form is one pivot away."""
+def _statuses(r: Register, kind: str, status: str, group_by: str) -> DataFrame:
     name = lambda a: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.col("attrs")[a], F.lit("}")), "$.v"), F.lit("unknown"))
-    g = r.nodes.filter(F.col("kind") == kind).select(name(group_by).alias("grp"), name(status).alias("status"))
-    if values and "total" in values:
-        raise ValueError("'total' is the name of a column")
+    return r.nodes.filter(F.col("kind") == kind).select(name(group_by).alias("grp"), name(status).alias("status"))
+
+
+def rollup_long(r: Register, kind: str, status: str, group_by: str, values: list[str] | None = None) -> DataFrame:
+    """The status table in long form, whatever the number of statuses: grp, status, n, total. total: all of the group; declared values are there with 0, others where they occur."""
+    g = _statuses(r, kind, status, group_by)
+    n = g.groupBy("grp", "status").agg(F.count("*").alias("n"))
+    total = n.groupBy("grp").agg(F.sum("n").alias("total"))
+    if values:
+        blank = total.select("grp", F.explode(F.array(*(F.lit(v) for v in sorted(set(values))))).alias("status"))
+        n = n.join(blank, ["grp", "status"], "full_outer").select("grp", "status", F.coalesce("n", F.lit(0)).alias("n"))
+    return n.join(total, "grp").select("grp", "status", "n", "total")
+
+
+#: The greatest number of columns of rollup().
+WIDEST = 10_000
+
+
+def rollup(r: Register, kind: str, status: str, group_by: str, values: list[str] | None = None) -> DataFrame:
+    """Wide form of the status table: a row for each group, a column for each status, declared values included; it has no total. More statuses than WIDEST are an error: rollup_long has room for them."""
+    g = _statuses(r, kind, status, group_by)
     seen = g.select("status").distinct()
     if values:
         seen = seen.union(r.nodes.sparkSession.createDataFrame([(v,) for v in values], "status string")).distinct()
-    return g.groupBy("grp").pivot("status", sorted(x[0] for x in seen.limit(10_000).collect())).count().na.fill(0)
+    found = sorted(x[0] for x in seen.limit(WIDEST + 1).collect())
+    if "total" in found:
+        raise ValueError("'total' is the name of a column")
+    if len(found) > WIDEST:
+        raise ValueError(f"'{status}' has more than {WIDEST} values, too many for columns: use rollup_long")
+    return g.groupBy("grp").pivot("status", found).count().na.fill(0)
 
 
 def diff(a: Register, b: Register) -> tuple[DataFrame, DataFrame]:

@@ -184,6 +184,11 @@ def _rollup(spark, d):
     return rel.rollup(shop(spark, d, line_nodes=False), "order", "status", "priority", ["F", "O", "P", "X"])
 
 
+@query("A7_rollup_long", "WITH v AS (SELECT unnest(['F', 'O', 'P', 'X']) AS status), g AS (SELECT o_orderpriority AS grp, count(*) AS total FROM orders GROUP BY 1) SELECT grp, v.status, count(o_orderkey) AS n, total FROM g CROSS JOIN v LEFT JOIN orders ON o_orderpriority = grp AND o_orderstatus = v.status GROUP BY ALL")
+def _rollup_long(spark, d):
+    return rel.rollup_long(shop(spark, d, line_nodes=False), "order", "status", "priority", ["F", "O", "P", "X"])
+
+
 @query("A12_unattributed", "SELECT count(*) AS total, count(*) FILTER (l IS NULL) AS unattributed, round(count(*) FILTER (l IS NULL) * 1000.0 / count(*)) / 10 AS pct, CASE WHEN count(*) FILTER (l IS NULL) = 0 THEN 'unverified' ELSE 'unknown' END AS state FROM (SELECT c_custkey, max(o_orderkey) AS l FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)")
 def _unattributed(spark, d):
     r = shop(spark, d)

@@ -1,6 +1,9 @@
 """Whole answers where the code once gave a part."""
 
+import pytest
+
 from registra.model import EDGE, NODE, NodeKind, Profile, Register
+from registra.operators import relations as rel
 from registra.plans import validate
 from registra.plans.catalog import QUERIES
 
@@ -59,3 +62,11 @@ def test_suppressions_are_judged_by_node(spark):
     f = validate.validate(Register(nodes(spark, ("AA", "x", {})), edges(spark)), p)
     assert sorted(r.message for r in f.filter("code = 'SUPPRESS_UNUSED'").collect()) == ["nothing to suppress: ID_FORMAT at gone", "nothing to suppress: SUPPRESS_UNUSED at x", "nothing to suppress: VACANCY"]
     assert {r.code for r in f.filter("suppressed").collect()} == {"ID_FORMAT", "UNTRACED"}
+
+
+def test_rollup_drops_no_status(spark):
+    n = spark.range(10_001).selectExpr("cast(id as string) as id", "'x' as kind", "map('s', concat('\"s', id, '\"'), 'g', '\"g\"') as attrs", "'f' as file", "id as line", "id as ord")
+    r = Register(n, edges(spark))
+    with pytest.raises(ValueError, match="rollup_long"):
+        rel.rollup(r, "x", "s", "g")
+    assert rel.rollup_long(r, "x", "s", "g", ["none"]).selectExpr("count(*)", "sum(n)", "min(n)", "max(total)").first()[:] == (10_002, 10_001, 0, 10_001)
