@@ -137,7 +137,7 @@ def class_of(h: np.ndarray) -> int:
 
 
 def _profile(width: int, percent: int):
-    """(id, text) -> (id, n, cls, odd, own, low): set size, class of equal sets, parity of its band, slack in the own and in the lower band."""
+    """(id, text, of) -> (id, of, n, cls, odd, own, low): set size, class of equal sets, parity of its band, slack in the own and in the lower band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +150,7 @@ def _profile(width: int, percent: int):
                 slack = [(band & 1, s) for band, s in slacks_of(h, percent)]
                 rows.append((len(h), class_of(h), *slack[0], slack[1][1] if slack[1:] else None))
             n, cls, odd, own, low = zip(*rows, strict=True) if rows else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(odd, pa.int32()), pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["id", "n", "cls", "odd", "own", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(odd, pa.int32()), pa.array(own, pa.int32()), pa.array(low, pa.int32())], ["id", "of", "n", "cls", "odd", "own", "low"])
 
     return run
 
@@ -230,8 +230,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     texts without any id is null. Shingles are compared as 64-bit hashes, and classes of equal sets as 64-bit hashes of those."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    info = scratch.cut(docs.mapInArrow(_profile(width, percent), "id long, n long, cls long, odd int, own int, low int"))
-    classes = scratch.cut(info.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"), *(F.min(c).alias(c) for c in ("odd", "own", "low"))))
+    of = F.xxhash64("text").alias("of")  # with the id it tells a class's text from others, whether ids repeat or are null
+    info = scratch.cut(docs.select("id", "text", of).mapInArrow(_profile(width, percent), "id long, of long, n long, cls long, odd int, own int, low int"))
+    classes = scratch.cut(info.filter("n > 0").groupBy("cls").agg(F.min("id").alias("first"), F.coalesce(F.min_by("of", "id"), F.min("of")).alias("of"), *(F.min(c).alias(c) for c in ("odd", "own", "low"))))
     parity = F.pmod(F.col("key"), F.lit(2)).cast("int").alias("parity")
     slack = F.when(F.col("parity") == F.col("odd"), F.col("own")).otherwise(F.col("low")).alias("slack")
 
@@ -250,8 +251,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
 
     near = lists.select("cls").distinct()
     wanted = near.union(classes.filter("own < 0 or low < 0").select("cls")).distinct()
-    reps = scratch.cut(classes.join(wanted, "cls").select("cls", F.col("first").alias("id")))
-    texts = scratch.cut(docs.join(few(reps), "id").groupBy("cls").agg(F.min("text").alias("text")))
+    reps = scratch.cut(classes.join(wanted, "cls").select("cls", F.col("first").alias("_id"), F.col("of").alias("_of")))
+    texts = docs.select("id", "text", of).join(few(reps), F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")))
+    texts = scratch.cut(texts.groupBy("cls").agg(F.min("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
@@ -349,6 +351,6 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
 
     group = classes.join(comp, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     lead = group.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of = scratch.cut(group.join(lead, "comp").select("cls", "component_id"))
+    found = scratch.cut(group.join(lead, "comp").select("cls", "component_id"))
     scratch.drop(lists, texts, short, heavy, left)
-    return info.join(of, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return info.join(found, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
