@@ -219,6 +219,28 @@ def _diff(spark, d):
     return rel.diff(Register(a, none), Register(b, none))[0]
 
 
+@query("J10_diff_all", f"""
+WITH pa AS (SELECT 'O-' || o_orderkey AS src, 'C-' || o_custkey AS tgt, o_orderpriority AS v FROM orders WHERE o_orderkey % 10 <> 0), pb AS (SELECT 'O-' || o_orderkey AS src, 'C-' || o_custkey AS tgt, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderpriority END AS v FROM orders WHERE o_orderkey % 10 <> 1),
+l AS (SELECT 'L-' || l_orderkey || '-' || l_linenumber AS src, 'O-' || l_orderkey AS tgt, l_partkey % 10 AS m FROM lineitem), la AS (SELECT src, tgt, row_number() OVER (PARTITION BY src, tgt) AS nth, 1 AS v FROM l WHERE m <> 0), lb AS (SELECT src, tgt, row_number() OVER (PARTITION BY src, tgt) AS nth, 1 AS v FROM l WHERE m <> 1)
+SELECT 'node' AS what, id AS src, '' AS tgt, 'order' AS kind, 0 AS nth, change FROM ({SQL["J10_diff"]})
+UNION ALL SELECT 'edge', src, tgt, 'placed_by', 1, CASE WHEN pa.v IS NULL THEN 'added' WHEN pb.v IS NULL THEN 'removed' ELSE 'changed' END FROM pa FULL JOIN pb USING (src, tgt) WHERE pa.v IS DISTINCT FROM pb.v
+UNION ALL SELECT 'edge', src, tgt, 'of_order', nth, CASE WHEN la.v IS NULL THEN 'added' ELSE 'removed' END FROM la FULL JOIN lb USING (src, tgt, nth) WHERE la.v IS DISTINCT FROM lb.v""")
+def _diff_all(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")  # noqa: E741
+    k = F.col("o_orderkey")
+
+    def snapshot(keep: int, part: str, status, priority) -> Register:
+        mine = o.filter(k % 10 != keep)
+        n = node(mine, key("O-", "o_orderkey"), "order", attrs(status=literal(status, "string")))
+        e = edge(mine, key("O-", "o_orderkey"), key("C-", "o_custkey"), "placed_by", attrs(priority=literal(priority, "string")))
+        return Register(n, e.unionByName(edge(l.filter(part), key("L-", "l_orderkey", "l_linenumber"), key("O-", "l_orderkey"), "of_order")))
+
+    a = snapshot(0, "l_partkey % 10 <> 0", F.col("o_orderstatus"), F.col("o_orderpriority"))
+    b = snapshot(1, "l_partkey % 10 <> 1", F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")), F.when(k % 11 == 0, "X").otherwise(F.col("o_orderpriority")))
+    n, e = rel.diff(a, b)
+    return n.select(F.lit("node").alias("what"), F.col("id").alias("src"), F.lit("").alias("tgt"), F.lit("order").alias("kind"), F.lit(0).alias("nth"), "change").unionByName(e.select(F.lit("edge").alias("what"), "src", "tgt", "kind", "nth", "change"))
+
+
 def _tree(spark, d) -> DataFrame:
     return table(spark, d, "part").filter("p_partkey > 1").select(key("P-", "p_partkey").alias("src"), F.concat(F.lit("P-"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("tgt"), F.lit("derives").alias("kind"))
 

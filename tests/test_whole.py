@@ -70,3 +70,8 @@ def test_rollup_drops_no_status(spark):
     with pytest.raises(ValueError, match="rollup_long"):
         rel.rollup(r, "x", "s", "g")
     assert rel.rollup_long(r, "x", "s", "g", ["none"]).selectExpr("count(*)", "sum(n)", "min(n)", "max(total)").first()[:] == (10_002, 10_001, 0, 10_001)
+
+
+def test_diff_has_edges_too(spark):
+    got = {(r.what, r.kind) for r in QUERIES["J10_diff_all"](spark, DATA).select("what", "kind").distinct().collect()}
+    assert got == {("node", "order"), ("edge", "placed_by"), ("edge", "of_order")}
