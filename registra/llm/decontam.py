@@ -26,6 +26,19 @@ def hash_words(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: run(i, width))).when(F.size(w) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spaced(w: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+
+
+def hash_short(w: Column, lengths: list[int]) -> Column:
+    """hash_words' hashes of arrays as short as each of the lengths, for all runs of an array that are so long."""
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.lit("short"), F.array_join(F.slice(w, i, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.concat(*map(runs, lengths)))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """Which documents hold which test items: at least percent / 100 of an item's distinct shingles of width words.
 
@@ -33,7 +46,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     bottom of a MinHash permutation), as many as its partition needs: an item of n shingles may lack (100 - percent) * n / 100, so one hash more must occur
     in any document that holds it, and no document is missed. Hashes above the greatest of all sketches are dropped before the join. Candidates are verified on the shingles' words.
     Returns id, item_id, n_item (shingles), n_shared, containment; null, empty and blank texts hold nothing and are held by nothing; an item of fewer words than width is found
-    in texts of just these words; repeated ids count with the text that holds most, repeated rows once; a null id or item_id keeps its hits."""
+    where its words stand in a row, as its only shingle; repeated ids count with the text that holds most, repeated rows once; a null id or item_id keeps its hits."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -45,16 +58,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     if top is None:
         return docs.select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).filter(F.lit(False))
     w = docs.select("id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    probes = w.select("id", F.explode(F.filter(hash_words(F.col("w"), width), lambda h: h <= top)).alias("h"))
+    lengths = sorted(r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n") < width).distinct().collect())
+    probed = F.concat(hash_words(F.col("w"), width), hash_short(F.col("w"), lengths)) if lengths else hash_words(F.col("w"), width)
+    probes = w.select("id", F.explode(F.filter(probed, lambda h: h <= top)).alias("h"))
     cands = scratch.cut(probes.join(few(sketch), "h").select("id", "item_id", "of").distinct())
     # A text's words and shingles are made once, whatever the number of its candidates, each in a column of its own, since a lambda would make them again for each element.
     hits = cands.groupBy("id").agg(F.collect_list(F.struct("item_id", "of")).alias("hits"))
     hits = F.broadcast(hits) if cands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
     held = docs.alias("d").join(hits.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("d.id", words(ascii_lower(F.col("text"))).alias("w"), "hits")
-    held = held.select("id", shingle_texts("w", width).alias("held"), "hits").select("id", "held", F.explode("hits").alias("hit"))
-    told = items.select("item_id", "of", words(ascii_lower(F.col("text"))).alias("w")).select(F.col("item_id").alias("_item"), F.col("of").alias("_of"), shingle_texts("w", width).alias("shingles"))
+    whole = [_spaced(F.col("w")).alias("whole")] if lengths else []
+    held = held.select("id", shingle_texts("w", width).alias("held"), *whole, "hits").select("id", "held", *(["whole"] if lengths else []), F.explode("hits").alias("hit"))
+    told = items.select("item_id", "of", words(ascii_lower(F.col("text"))).alias("w")).select(F.col("item_id").alias("_item"), F.col("of").alias("_of"), shingle_texts("w", width).alias("shingles"), F.when(F.size("w") < width, _spaced(F.col("w"))).alias("short"))
     pairs = held.join(told, F.col("hit.item_id").eqNullSafe(F.col("_item")) & (F.col("hit.of") == F.col("_of")))
-    found = pairs.select("id", F.col("_item").alias("item_id"), F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", "held")).cast("long").alias("n_shared"))
+    shared = F.size(F.array_intersect("shingles", "held"))
+    if lengths:
+        shared = F.when(F.col("short").isNotNull(), F.contains("whole", "short").cast("int")).otherwise(shared)
+    found = pairs.select("id", F.col("_item").alias("item_id"), F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
     found = found.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     best = found.groupBy("id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_item", "n_shared")).alias("b"))
     return best.select("id", "item_id", "b.n_item", "b.n_shared", F.col("b.c").alias("containment"))

@@ -1,6 +1,6 @@
 """Odd rows that once lost links."""
 
-from registra.llm import ngram_join
+from registra.llm import decontam, ngram_join
 
 
 def test_ngram_join_keeps_the_texts_of_an_id_apart(spark):
@@ -8,3 +8,12 @@ def test_ngram_join_keeps_the_texts_of_an_id_apart(spark):
     rows = [(1, text("a")), (1, text("b")), (2, text("a", "more")), (3, text("b", "more")), (None, text("c")), (4, text("c", "more")), (None, text("d")), (None, text("d", "more"))]
     got = ngram_join.jaccard_links(spark.createDataFrame(rows, "id long, text string")).collect()
     assert {(r.id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (None, 4), (4, 4), (None, None)}
+
+
+def test_short_items_are_found_inside_texts(spark):
+    texts = ["one two three four five six seven eight", "Two THREE", "two three", "twothree x y z w v", "x two  three", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "eight"), (3, "three four five six"), (4, "two three four five six"), (5, "three two")], "item_id long, text string")
+    got = {(r.id, r.item_id, r.n_item, r.n_shared, r.containment) for r in decontam.find_leaks(d, items).collect()}
+    assert got == {(i, k, 1, 1, 1.0) for i, k in [(0, 1), (0, 2), (0, 3), (0, 4), (1, 1), (2, 1), (4, 1)]}
+    assert decontam.decontaminate(d, items, "id").count() == 2
