@@ -40,11 +40,15 @@ def has_type(value: Column, kind: str, values: list[str] | None = None) -> Colum
     return json_type(value) == ("string" if kind == "enum" else kind)
 
 
+def as_json(x) -> Column:
+    """A value as the literal that attributes hold."""
+    return F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":")))
+
+
 def condition(attr: str, op: str, operand, attrs: Column | None = None) -> Column:
     """One condition. Absent keys fail all but ne and present: false; a type that doesn't fit fails the orderings."""
     attrs = F.col("attrs") if attrs is None else attrs
     value = attrs[attr]
-    as_json = lambda x: F.lit(json.dumps(x, ensure_ascii=False, separators=(",", ":")))
     if op == "present":
         return F.map_contains_key(attrs, attr) == F.lit(bool(operand))
     if op == "eq":
@@ -85,6 +89,9 @@ def parse_block(raw: dict) -> dict:
     out, faults = {}, []
     for attr, spec in raw.items():
         spec = spec if isinstance(spec, dict) else {"eq": spec}
+        if "not" in spec:
+            faults.append(f"{attr}: 'not' is retired; use 'ne'")
+            continue
         if len(spec) != 1:
             faults.append(f"{attr}: one operator expected")
             continue

@@ -57,6 +57,8 @@ class NodeKind:
     attrs: dict = field(default_factory=dict)  # name -> {"type", "required", "values", "items"}
     summary: str | None = None
     orphan_ok: bool = False
+    texts: tuple | None = None  # attributes that a ranking reads; None: the summary
+    chunk: str | None = None  # a text is cut at lines that start so
 
 
 @dataclass(frozen=True)
@@ -68,3 +70,8 @@ class Profile:
     overrides: dict = field(default_factory=dict)  # code -> severity
     suppressions: tuple = ()  # (code, node ids or None)
     pathway_bindings: dict = field(default_factory=dict)  # code -> (pathway, attr)
+    pathways: tuple = ()  # names that bindings and notes may use
+    templates: dict = field(default_factory=dict)  # code -> message template
+    notes: str | None = None  # a notes file
+    name: str = "profile"
+    raw: dict = field(default_factory=dict)

@@ -75,10 +75,8 @@ def uncovered_causes(uncovered: DataFrame, via: DataFrame) -> DataFrame:
     """(id, members, children) for each of deep_uncovered's targets: the sorted members of its cycle of uncovered targets, if it is on one, and its sorted uncovered children; null where there are none. Each member of a cycle names all of them."""
     ids = cut(uncovered.select("id"))
     within = lambda e, n: e.join(n.select(F.col("id").alias("src")), "src", "left_semi").join(n.select(F.col("id").alias("tgt")), "tgt", "left_semi")
-    bad = core = cut(within(via.select("src", "tgt").distinct(), ids))
-    for e in (lambda: core, lambda: core.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))):  # what isn't between cycles goes before components are sought
-        tree = topological(e()).select("id")
-        core = cut(core.join(tree.select(F.col("id").alias("src")), "src", "left_anti").join(tree.select(F.col("id").alias("tgt")), "tgt", "left_anti"))
+    bad = cut(within(via.select("src", "tgt").distinct(), ids))
+    core = bad
     of = cut(sccs(core))
     loops = bad.filter("src = tgt").select(F.col("src").alias("id"))
     rings = of.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members"))
@@ -87,13 +85,30 @@ def uncovered_causes(uncovered: DataFrame, via: DataFrame) -> DataFrame:
     return ids.join(rings, "id", "left").join(kids, "id", "left")
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that lie on cycles or between cycles: what is peeled from either end is a component of its own."""
+    core = edges.select("src", "tgt").filter("src <> tgt").distinct()
+    for turn in (False, True):
+        e = core.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")) if turn else core
+        tree = topological(e).select("id")
+        core = cut(core.join(tree.select(F.col("id").alias("src")), "src", "left_anti").join(tree.select(F.col("id").alias("tgt")), "tgt", "left_anti"))
+    return core
+
+
+def sccs_all(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """sccs() with the given ids that have no edges too, each a component of its own."""
+    return ids.select("id").union(edges.select("src")).union(edges.select("tgt")).distinct().join(sccs(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def sccs(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of nodes with edges, named by their greatest id.
 
-    Nodes without a way in or out are components of their own and go first; then greatest labels flow forward to a fixed point and whoever the label's owner is reached by backwards within its colour is its component; the rest goes round again."""
-    e = cut(edges.select("src", "tgt").distinct())
+    What isn't on or between cycles is peeled off first, layer by layer, each node a component of its own. In the rest greatest labels flow forward to a
+    fixed point; whoever reaches the label's owner within its colour is its component, and the rest goes round again."""
+    every = cut(edges.select(F.col("src").alias("id")).union(edges.select("tgt")).distinct())
+    e = trimmed(edges)
     ids = cut(e.select(F.col("src").alias("id")).union(e.select("tgt")).distinct())
-    found = None
+    found = cut(every.join(ids, "id", "left_anti").select("id", F.col("id").alias("component")))
     while ids.limit(1).count():
         lab = ids.withColumn("c", F.col("id"))
         state = None
@@ -110,10 +125,10 @@ def sccs(edges: DataFrame) -> DataFrame:
             front = cut(inner.join(front.select(F.col("id").alias("tgt")), "tgt").select(F.col("src").alias("id")).distinct().join(members, "id", "left_anti"))
             members = members.union(front)
         part = cut(lab.join(members, "id", "left_semi").select("id", F.col("c").alias("component")))
-        found = part if found is None else found.union(part)
+        found = found.union(part)
         ids = cut(ids.join(part, "id", "left_anti"))
         e = cut(e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("tgt")), "tgt", "left_semi"))
-    return found if found is not None else ids.withColumn("component", F.col("id"))
+    return found
 
 
 def topological(edges: DataFrame) -> DataFrame:

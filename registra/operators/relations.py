@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import text_of
 from ..model import Profile, Register
 
 
@@ -97,7 +98,7 @@ def edge_counts(r: Register, node_kind: str, edge_kind: str, direction: str = "o
 
 
 def _statuses(r: Register, kind: str, status: str, group_by: str) -> DataFrame:
-    name = lambda a: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), F.col("attrs")[a], F.lit("}")), "$.v"), F.lit("unknown"))
+    name = lambda a: F.coalesce(text_of(F.col("attrs")[a]), F.col("attrs")[a], F.lit("unknown"))
     return r.nodes.filter(F.col("kind") == kind).select(name(group_by).alias("grp"), name(status).alias("status"))
 
 

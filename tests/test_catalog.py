@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from registra.plans import sources_catalog, whole_catalog  # noqa: F401
 from registra.plans.catalog import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
