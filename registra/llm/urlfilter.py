@@ -10,30 +10,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few
+from .common import Scratch, ascii_lower, few
 
 BITS_PER_KEY, BITS_SET = 16, 4
 
 
-class BlockedBloom:
-    """Each key sets BITS_SET bits of one 64-bit block, so a test reads one word. Its size follows the number of keys."""
+#: A filter has at most so many blocks of 8 bytes; with more keys it passes more to the exact join, and loses nothing.
+MOST_BLOCKS = 1 << 24
+
+
+def place(key: str, blocks: int) -> tuple[int, int]:
+    """The block of a key and the BITS_SET bits that it sets there."""
+    h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+    mask = 0
+    for i in range(BITS_SET):
+        mask |= 1 << (h >> (6 * i) & 63)
+    return (h >> 24) % blocks, mask
 
-    def __init__(self, keys: list[str]):
-        self.blocks = np.zeros(max(1, len(keys) * BITS_PER_KEY // 64 + 1), np.uint64)
-        for k in keys:
-            block, mask = self.place(k)
-            self.blocks[block] |= mask
 
-    def place(self, key: str) -> tuple[int, np.uint64]:
-        h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
-        mask = 0
-        for i in range(BITS_SET):
-            mask |= 1 << (h >> (6 * i) & 63)
-        return (h >> 24) % len(self.blocks), np.uint64(mask)
+class BlockedBloom:
+    """Each key sets BITS_SET bits of one 64-bit block, so a test reads one word."""
+
+    def __init__(self, blocks: np.ndarray):
+        self.blocks = blocks
 
     def __contains__(self, key: str) -> bool:
-        block, mask = self.place(key)
-        return self.blocks[block] & mask == mask
+        block, mask = place(key, len(self.blocks))
+        return int(self.blocks[block]) & mask == mask
+
+
+def bloom_of(rules: DataFrame) -> BlockedBloom:
+    """rules: rule (string) -> a filter of them, 16 bits a rule. Executors set the bits and join blocks by bit-or; only blocks reach the driver, 8 MB for each 4 million rules and 128 MB at most."""
+    n = rules.count()
+    size = max(1, min(MOST_BLOCKS, n * BITS_PER_KEY // 64 + 1))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [place(k, size) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in at], pa.int64()), pa.array(np.array([m for _, m in at], np.uint64).view(np.int64))], ["block", "mask"])
+
+    rows = rules.select("rule").mapInArrow(bits, "block long, mask long").groupBy("block").agg(F.bit_or("mask").alias("mask")).toArrow()
+    blocks = np.zeros(size, np.uint64)
+    blocks[rows["block"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    return BlockedBloom(blocks)
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -60,17 +79,15 @@ def rule_keys(host: str, path: str, lengths: list[int]) -> list[str]:
 def filter_urls(pages: DataFrame, rules: DataFrame, other: str = "allow") -> DataFrame:
     """Judges urls by rules.
 
-    pages: id, url; rules: host, path, verdict; other columns are ignored. A rule fits its host and all subdomains where the url's path starts with the
+    pages: id, url; rules: host, path, verdict; other columns are ignored. A rule fits its host (A-Z in any case) and all subdomains where the url's path starts with the
     rule's. The longest rule (host and path together, then the longer host, then block before allow) wins; without one the
-    verdict is other. Returns a row for each row: id, host, path, rule, verdict. A null url, or one without ://, has neither host nor path and no rule;
-    rules with a null column are left out. The rules' keys are collected for the Bloom filter, 16 bits each, so up to 10 million rules fit; beyond that it raises."""
-    rules = rules.select("host", "path", "verdict").dropna().select(F.concat("host", "path").alias("rule"), F.length("host").alias("n"), "verdict")
-    rules = rules.groupBy("rule").agg(F.max(F.struct("n", "verdict")).alias("v")).select("rule", "v.n", "v.verdict")
-    keys = rules.select("rule", F.length("rule").alias("all"), "n").limit(10_000_001).collect()
-    if len(keys) > 10_000_000:
-        raise ValueError("more than 10 million rules")
-    bloom = pages.sparkSession.sparkContext.broadcast(BlockedBloom([r.rule for r in keys]))
-    lengths = sorted({r["all"] - r.n for r in keys})
+    verdict is other. Returns a row for each row: id, host, path, rule, verdict; repeated rows and ids are judged each for itself. A null url, or one without ://, has neither host nor path and no rule;
+    rules with a null column are left out. Urls are split once; rows that the filter passes meet the rules by their own numbers, so a common url is no hot key."""
+    scratch = Scratch(pages.sparkSession)
+    rules = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().select(F.concat("host", "path").alias("rule"), F.length("host").alias("n"), "verdict")
+    rules = scratch.cut(rules.groupBy("rule").agg(F.max(F.struct("n", "verdict")).alias("v")).select("rule", "v.n", "v.verdict"))
+    bloom = pages.sparkSession.sparkContext.broadcast(bloom_of(rules))
+    lengths = sorted(r[0] for r in rules.select((F.length("rule") - F.col("n")).alias("n")).distinct().collect())  # of paths of rules, a few hundred at most
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ = bloom.value
@@ -80,6 +97,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, other: str = "allow") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h for h, _ in parts], pa.string()), pa.array([p for _, p in parts], pa.string()), pa.array(maybe, pa.list_(pa.string()))], ["id", "host", "path", "maybe"])
 
     urls = pages.select(F.col("id").cast("long").alias("id"), F.col("url").cast("string").alias("url")).mapInArrow(judge, "id long, host string, path string, maybe array<string>")
-    hits = urls.select("host", "path", F.explode("maybe").alias("rule")).distinct().join(few(rules), "rule")
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "n", F.col("verdict"))).alias("r"))
-    return urls.drop("maybe").join(best, ["host", "path"], "left").select("id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(other)).alias("verdict"))
+    urls = scratch.cut(urls.withColumn("row", F.monotonically_increasing_id()))
+    free = urls.filter("size(maybe) = 0").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(other).alias("verdict"))
+    hits = urls.filter("size(maybe) > 0").select("row", "id", "host", "path", F.explode("maybe").alias("rule")).join(few(rules.withColumn("hit", F.col("rule"))), "rule", "left")
+    best = hits.groupBy("row", "id", "host", "path").agg(F.max_by(F.struct("hit", "verdict"), F.struct(F.length("hit"), "n", F.col("verdict"))).alias("r"))
+    return free.unionByName(best.select("id", "host", "path", F.col("r.hit").alias("rule"), F.coalesce("r.verdict", F.lit(other)).alias("verdict")))
