@@ -67,14 +67,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     line = Window.orderBy(F.col("source").asc_nulls_last())
     ranges = goal.filter("quota > 0").withColumn("to", F.sum("quota").over(line.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(float(total["q"])))
     ranges = ranges.withColumn("from", F.coalesce(F.lag("to").over(line), F.lit(0.0))).withColumn("to", F.when(F.lead("quota").over(line).isNull(), F.lit(1.0)).otherwise(F.col("to")))
-    # The k-th point in a share of width w comes before (k + c log) / w points, so each source gets its own horizon in the same sequence.
+    # The k-th point in a share of width w comes before (k + c log) / w points, so each source gets its own horizon in the same sequence, but none looks further than
+    # twice the slots: a source with a share so small that it has fewer points by then gets the slots it lacks at the end.
     slack = 3 * (n + 2).bit_length()
-    ranges = ranges.withColumn("horizon", F.ceil((F.ceil(F.col("quota") / block_words) + slack) / (F.col("to") - F.col("from"))).cast("long"))
+    ranges = ranges.withColumn("horizon", F.least(F.ceil((F.ceil(F.col("quota") / block_words) + slack) / (F.col("to") - F.col("from"))).cast("long"), F.lit(2 * n + 64 * slack)))
     cells = F.broadcast(ranges.select("source", "quota", "from", "to", "horizon", F.explode(F.sequence(F.floor(F.col("from") * CELLS), F.least(F.lit(CELLS - 1), F.floor(F.col("to") * CELLS)))).alias("cell")))
     furthest = ranges.agg(F.max("horizon")).first()[0]
     points = docs.sparkSession.range(furthest).withColumn("x", _golden(F.col("id"))).withColumn("cell", F.floor(F.col("x") * CELLS))
     slots = points.join(cells, "cell").filter("x >= `from` and x < `to` and id < horizon").select("source", "quota", "id", F.floor(F.col("id") / (1 << 16)).alias("chunk"), F.lit(1).cast("long").alias("one"))
-    slots = prefix_sums(slots, ["source"], ["id"], "chunk", {"k": "one"}).filter(F.col("k") * block_words < F.col("quota"))
+    slots = prefix_sums(slots, ["source"], ["id"], "chunk", {"k": "one"}).filter(F.col("k") * block_words < F.col("quota")).select("source", "quota", "k")
+    slots = scratch.cut(slots)
+    have = F.broadcast(slots.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("have")))  # a row a source
+    lacking = goal.filter("quota > 0").join(have, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("have", F.coalesce("have", F.lit(0))).withColumn("need", F.ceil(F.col("quota") / block_words))
+    slots = slots.unionByName(lacking.filter("have < need").select("source", "quota", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("k")))
     # The k-th slot takes words [k * block_words, ...) of the source repeated without end; a pass ends with a shorter block, so a slot may touch two or more blocks.
     slots = slots.join(F.broadcast(goal.select(F.col("source").alias("_s"), "source_size")), F.col("source").eqNullSafe(F.col("_s")))
     a, b = F.col("k") * block_words, F.least((F.col("k") + 1) * block_words, F.col("quota"))
