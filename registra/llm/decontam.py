@@ -49,6 +49,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     where its words stand in a row, as its only shingle; repeated ids count with the text that holds most, repeated rows once; a null id or item_id keeps its hits."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    is_row = F.xxhash64("text")  # with the id it tells rows apart, whether ids repeat or are null
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = scratch.cut(items.withColumn("w", words(ascii_lower(F.col("text")))).filter(F.size("w") > 0).withColumn("hashes", F.array_sort(F.array_distinct(hash_words(F.col("w"), width)))).select("item_id", "text", "hashes", F.xxhash64("text").alias("of")))
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes")))).cast("int")
@@ -57,15 +58,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     top = sketch.agg(F.max("h")).first()[0]
     if top is None:
         return docs.select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).filter(F.lit(False))
-    w = docs.select("id", words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    w = docs.select("id", is_row.alias("d"), words(ascii_lower(F.col("text"))).alias("w")).filter(F.size("w") > 0)
     lengths = sorted(r[0] for r in items.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n") < width).distinct().collect())
     probed = F.concat(hash_words(F.col("w"), width), hash_short(F.col("w"), lengths)) if lengths else hash_words(F.col("w"), width)
-    probes = w.select("id", F.explode(F.filter(probed, lambda h: h <= top)).alias("h"))
-    cands = scratch.cut(probes.join(few(sketch), "h").select("id", "item_id", "of").distinct())
+    probes = w.select("id", "d", F.explode(F.filter(probed, lambda h: h <= top)).alias("h"))
+    cands = scratch.cut(probes.join(few(sketch), "h").select("id", "d", "item_id", "of").distinct())
     # A text's words and shingles are made once, whatever the number of its candidates, each in a column of its own, since a lambda would make them again for each element.
-    hits = cands.groupBy("id").agg(F.collect_list(F.struct("item_id", "of")).alias("hits"))
+    hits = cands.groupBy("id", "d").agg(F.collect_list(F.struct("item_id", "of")).alias("hits"))
     hits = F.broadcast(hits) if cands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
-    held = docs.alias("d").join(hits.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id"))).select("d.id", words(ascii_lower(F.col("text"))).alias("w"), "hits")
+    held = docs.alias("d").join(hits.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (is_row == F.col("c.d"))).select("d.id", words(ascii_lower(F.col("text"))).alias("w"), "hits")
     whole = [_spaced(F.col("w")).alias("whole")] if lengths else []
     held = held.select("id", shingle_texts("w", width).alias("held"), *whole, "hits").select("id", "held", *(["whole"] if lengths else []), F.explode("hits").alias("hit"))
     told = items.select("item_id", "of", words(ascii_lower(F.col("text"))).alias("w")).select(F.col("item_id").alias("_item"), F.col("of").alias("_of"), shingle_texts("w", width).alias("shingles"), F.when(F.size("w") < width, _spaced(F.col("w"))).alias("short"))
@@ -80,7 +81,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs (key, text and whatever else they have) that hold no item; rows with a null key stay."""
-    leaks = find_leaks(docs.select(F.col(key).alias("id"), "text"), items, width, percent).select(F.col("id").alias("_leak")).filter("_leak is not null").distinct()
-    leaks = Scratch(docs.sparkSession).cut(leaks)
-    return docs.join(few(leaks), docs[key] == leaks["_leak"], "left_anti")
+    """The rows of docs (key, text and whatever else they have) that hold no item. All rows of a key that holds one go; rows without a key are judged by their text, known by a 64-bit hash."""
+    scratch, named, told = Scratch(docs.sparkSession), F.col(key).isNotNull(), docs
+    leaks = find_leaks(docs.filter(named).select(F.col(key).alias("id"), "text"), items, width, percent).select(F.col("id").alias("_leak")).distinct()
+    out = told.join(few(scratch.cut(leaks)), docs[key] == F.col("_leak"), "left_anti")
+    nameless = docs.filter(~named)
+    if nameless.limit(1).count():
+        texts = find_leaks(nameless.select(F.xxhash64("text").alias("id"), "text"), items, width, percent).select(F.col("id").alias("_leak")).distinct()
+        out = out.join(few(scratch.cut(texts)), out[key].isNull() & (F.xxhash64(out["text"]) == F.col("_leak")), "left_anti")
+    return out
