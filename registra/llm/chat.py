@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import token_counts
+
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 WINDOWS = "conv_id long, window long, text string, n_repeated long, loss array<struct<start:long,stop:long>>"
@@ -24,15 +26,26 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], text, flags=re.S)
 
 
-def turn_tokens(text: str) -> int:
-    """The words of a turn and its two marks."""
-    return len(text.split()) + 4
+def words_of(turn: str) -> int:
+    """The words of a formatted turn and four for its marks; a measure without a vocabulary."""
+    return len(turn.split()) + 4
+
+
+def tokens_of(vocabulary: str) -> Callable[[str], int]:
+    """Counts a formatted turn's tokens; the vocabulary file lies at the same path on every machine."""
+    e = token_counts.encoder(vocabulary)
+    return lambda turn: len(e.encode_ordinary(turn))
+
+
+def written(role: str, text: str) -> tuple[str, str]:
+    """A turn's head and body as they stand in a window."""
+    return f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n", escape(text)
 
 
 def _write(turns: list[tuple[str, str]], n_repeated: int) -> tuple[str, list[dict]]:
     out, loss, at = [], [], 0
     for i, (role, text) in enumerate(turns):
-        head, body = f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n", escape(text)
+        head, body = written(role, text)
         if role == "assistant" and i >= n_repeated:
             loss.append({"start": at + len(head), "stop": at + len(head) + len(body)})
         out += [head, body, END, "\n"]
@@ -43,37 +56,38 @@ def _write(turns: list[tuple[str, str]], n_repeated: int) -> tuple[str, list[dic
 class Conversation:
     """Windows of a conversation, turn by turn; it holds one window and the history that the next may repeat."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, length: Callable[[str], int]):
+        self.budget, self.history, self.length = budget, history, length
         self.system: tuple[str, str] | None = None
         self.turns: list[tuple[str, str]] = []  # of the open window
         self.ends: list[int] = []  # prefix sums of tokens at the end of each of them
-        self.repeated = self.seen = self.windows = 0
+        self.fixed = self.repeated = self.seen = self.windows = 0
 
     def add(self, role: str, text: str) -> Iterator[tuple]:
-        cost = turn_tokens(text)
+        head, body = written(role, text)
+        cost = self.length(f"{head}{body}{END}\n")
         if len(self.turns) > self.repeated and (self.ends[-1] if self.ends else 0) + cost > self.budget:
             yield self.close()
             self._repeat(self.budget - cost)
         if not self.seen and role == "system":
-            self.system = (role, text)
+            self.system, self.fixed = (role, text), cost
         self.seen += 1
         self.turns.append((role, text))
         self.ends.append((self.ends[-1] if self.ends else 0) + cost)
 
     def _repeat(self, room: int) -> None:
         """Starts a window with the system turn and as many last turns as history and room allow; both are left out before a turn that is too long for them."""
-        turns, ends, fixed = self.turns, self.ends, 0
-        kept: list[tuple[str, str]] = []
-        if self.system and turn_tokens(self.system[1]) <= room:
-            kept, fixed = [self.system], turn_tokens(self.system[1])
-        most = min(self.history, room - fixed)
-        first = next((i for i in range(len(turns)) if ends[-1] - (ends[i - 1] if i else 0) <= most and not (i == 0 and kept and turns[0] == self.system)), len(turns))
-        self.turns = kept + turns[first:]
+        turns, ends = self.turns, self.ends
+        with_system = self.system is not None and self.fixed <= room
+        most = min(self.history, room - (self.fixed if with_system else 0))
+        before = [0, *ends]
+        first = next((i for i in range(len(turns)) if ends[-1] - before[i] <= most and not (i == 0 and with_system and turns[0] == self.system)), len(turns))
+        costs = [b - a for a, b in zip(before[first:], ends[first:], strict=False)]
+        self.turns = ([self.system] if with_system else []) + turns[first:]
         self.repeated = len(self.turns)
         self.ends, total = [], 0
-        for _, text in self.turns:
-            total += turn_tokens(text)
+        for c in ([self.fixed] if with_system else []) + costs:
+            total += c
             self.ends.append(total)
 
     def close(self) -> tuple:
@@ -82,8 +96,8 @@ class Conversation:
         return self.windows - 1, text, self.repeated, loss
 
 
-def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
-    """Formats conversations into windows of at most budget tokens.
+def format_windows(turns: DataFrame, budget: int = 512, history: int = 128, vocabulary: str | None = None) -> DataFrame:
+    """Formats conversations into windows of at most budget tokens, each turn with its marks counted by the vocabulary's tokenizer (without one, in words).
 
     turns: conv_id, turn, role, text; other columns are ignored. Each window repeats the system turn (the first turn, if its role is system) and up to
     history tokens of the turns before, then has new turns. The loss mask (spans of code points) covers the texts of new
@@ -93,6 +107,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, c, out = object(), None, []
+        length = tokens_of(vocabulary) if vocabulary else words_of
 
         def flush():
             return pa.RecordBatch.from_pylist(out, schema=SCHEMA)
@@ -102,7 +117,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
                 if c is None or conv != now:
                     if c is not None:
                         out.append(dict(zip(NAMES, (now, *c.close()), strict=True)))
-                    now, c = conv, Conversation(budget, history)
+                    now, c = conv, Conversation(budget, history, length)
                 out += (dict(zip(NAMES, (conv, *w), strict=True)) for w in c.add(role, text))
             if out:
                 yield flush()
@@ -120,9 +135,12 @@ SCHEMA = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa
 NAMES = SCHEMA.names
 
 
-def read_windows(windows: DataFrame) -> DataFrame:
-    """What a training job sees in the windows of format_windows(), in whose order they must come: a row for each conversation with
-    n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars. Digests grow window by window."""
+def read_windows(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """What a training job sees in the windows of format_windows(): a row for each conversation with n_turns, turns_sha256, loss_chars, loss_sha256 and
+    formatted_chars. Digests grow window by window; in_order: the rows come as format_windows() gave them, else they are sorted first."""
+    if not in_order:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, out = object(), None, []
         for b in batches:

@@ -44,7 +44,7 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.read_windows(chat.format_windows(turns))
+    return chat.read_windows(chat.format_windows(turns, vocabulary=token_counts.VOCABULARY), in_order=True)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
