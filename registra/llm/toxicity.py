@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64
+from .common import Scratch, mix64
 
 BITS = 20
 #: Labelled rows that weights are fitted on, chosen by a hash of the id; a documented bound for the fit alone.
 FIT_ROWS = 20_000
+#: Bytes of their features (4 each) that the fit holds, about; where the rows have more, fewer rows are taken by another hash.
+FIT_BYTES = 256 << 20
+#: How much a toxic row counts for one that isn't: texts labelled toxic may hold little that is.
+TOXIC_WEIGHT = 3.0
 _K = np.uint64(0x9E3779B97F4A7C15)
 _TRIM = str.maketrans("", "", "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()))
 
@@ -38,7 +42,7 @@ class Ftrl:
 
     alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 16.0
     l2: float = 1.0
     epochs: int = 4
 
@@ -56,7 +60,7 @@ class Ftrl:
 
     def learn(self, i: np.ndarray, y: int) -> None:
         w = self.weights(i)
-        g = 1 / (1 + np.exp(-np.clip(self.bias + w.sum(), -35, 35))) - y
+        g = (1 / (1 + np.exp(-np.clip(self.bias + w.sum(), -35, 35))) - y) * (TOXIC_WEIGHT if y else 1.0)
         sigma = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / self.alpha
         self.z[i] += g - sigma * w
         self.n[i] += g * g
@@ -68,15 +72,19 @@ class Ftrl:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """docs: id, text; labels: id, toxic (0, 1) -> numbers of the weights that aren't 0, these weights, bias.
 
-    About fit_rows labelled rows with text are learnt in the order of a hash of their ids, in one task that
-    holds their feature numbers; null labels teach nothing, labels other than 1 count as 0, an id labelled twice counts as toxic if either says so. Without labelled rows there are no weights and the bias is 0.
+    About fit_rows labelled rows with text, and of very long ones as many as have FIT_BYTES of features, are learnt in the order of a hash of their ids, in one task that
+    holds their feature numbers; rows that repeat an id count each, in the order of their features; null labels teach nothing, labels other than 1 count as 0, an id labelled twice counts as toxic if either says so. Without labelled rows there are no weights and the bias is 0.
     An executor that is lost starts the fit again with the same rows in the same order."""
     labels = labels.filter("toxic is not null and id is not null").groupBy("id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("y"))
     n = labels.count()
     at = F.xxhash64(F.lit(11), "id")
     chosen = labels.filter(F.pmod(at, F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_rows / max(n, 1)))))
     rows = docs.select("id", F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "id")
-    made = rows.select("id", "text", "y").mapInArrow(_featurize, "id long, y int, f binary")
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.cut(rows.select("id", "text", "y").mapInArrow(_featurize, "id long, y int, f binary"))
+    held = made.agg(F.sum(F.octet_length("f"))).first()[0] or 0
+    if held > FIT_BYTES:
+        made = made.filter(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * FIT_BYTES / held)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [(np.frombuffer(f, np.int32), y) for b in batches for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
