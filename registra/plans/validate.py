@@ -44,54 +44,87 @@ def _say(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def _told(when: Column, code: str, message: Column, node_id: Column | None = None, severity: str | None = None, template: str | None = None, at: tuple[Column, Column] | None = None) -> Column:
+    """A finding as a struct where a condition holds, else null; at: where, if not the row's own place."""
+    file, line = at or (F.col("file"), F.col("line"))
+    return F.when(when, _as_struct(code, message, node_id, severity, template, file, line))
+
+
+def _as_struct(code: str, message: Column, node_id: Column | None, severity: str | None, template: str | None, file: Column, line: Column) -> Column:
+    none = F.lit(None).cast("string")
+    own = {"own": F.lit(severity is not None), "severity": F.lit(severity or SEVERITY[code]), "code": F.lit(code), "message": message, "node_id": none if node_id is None else node_id}
+    return F.struct(*(c.alias(k) for k, c in {**own, "file": file, "line": line.cast("bigint"), "state": none, "template": F.lit(template).cast("string")}.items()))
+
+
+def _spread(df: DataFrame, checks: list[Column], *many: Column) -> DataFrame:
+    """All checks of a row in one pass over it; many: arrays of findings."""
+    found = F.array_compact(F.array(*checks))
+    return df.select(F.explode(F.concat(found, *many) if many else found).alias("f")).select("f.*")
+
+
+def _located(nodes: DataFrame, attr: str) -> tuple[Column, Column]:
+    """Where an attribute was written, else its node."""
+    if "attr_prov" not in nodes.columns:
+        return F.col("file"), F.col("line")
+    own = F.col("attr_prov")[attr]
+    return F.coalesce(own["file"], F.col("file")), F.coalesce(own["line"], F.col("line"))
+
+
+def _attr_checks(nodes: DataFrame, kind: str, nk) -> tuple[list[Column], list[Column]]:
+    checks, many, mine, id_ = [], [], F.col("kind") == kind, F.col("id")
+    for name, spec in nk.attrs.items():
+        has, value, type_, at = F.map_contains_key("attrs", name), F.col("attrs")[name], spec["type"], _located(nodes, name)
+        fits = has_type(value, type_)
+        if spec.get("required"):
+            checks.append(_told(mine & ~has, "ATTR_REQUIRED", _say(f"{name} is required"), id_))
+        shown = F.when(F.length(value) > 60, F.concat(F.substring(value, 1, 59), F.lit("…"))).otherwise(value)
+        checks.append(_told(mine & has & ~fits, "ATTR_TYPE", _say(f"{name} isn't {type_}: ", shown), id_, at=at))
+        if type_ == "enum":
+            checks.append(_told(mine & fits & ~value.isin(*map(as_json, spec["values"])), "ATTR_ENUM", _say(f"{name} isn't one of its values: ", shown), id_, at=at))
+        if type_ == "list" and spec.get("items"):
+            each = F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), lambda x, i: F.struct(i.alias("i"), literal_of(x).alias("v")))
+            bad = F.filter(F.when(mine & fits, each), lambda x: ~has_type(x.v, spec["items"]))  # noqa: B023
+            item = lambda x: _as_struct("ATTR_LIST_ITEMS", _say(f"{name}[", x.i.cast("string"), f"] isn't {spec['items']}"), id_, None, None, *at)  # noqa: B023, E731
+            many.append(F.coalesce(F.transform(bad, item), F.array()))
+    return checks, many
+
+
 def node_checks(r: Register, p: Profile) -> list[DataFrame]:
-    """Kinds, ids and attributes. A node of an unknown kind gets no other finding."""
-    known = r.nodes.filter(F.col("kind").isin(*p.node_kinds))
-    out = [_finding(r.nodes.filter(~F.col("kind").isin(*p.node_kinds)), "UNKNOWN_KIND", _say("unknown kind ", F.col("kind")), F.col("id"))]
-    pattern = reduce(lambda c, k: c.when(F.col("kind") == k, ~F.col("id").rlike(rf"(?U)\A(?:{p.node_kinds[k].pattern})\z")), p.node_kinds, F.when(F.lit(False), F.lit(False)))
-    out.append(_finding(known.filter(pattern), "ID_FORMAT", _say("id doesn't fit the pattern of ", F.col("kind")), F.col("id")))
-    for kind, nk in p.node_kinds.items():
-        mine = known.filter(F.col("kind") == kind)
-        for name, spec in nk.attrs.items():
-            has, value, type_ = F.map_contains_key("attrs", name), F.col("attrs")[name], spec["type"]
-            if spec.get("required"):
-                out.append(_finding(mine.filter(~has), "ATTR_REQUIRED", _say(f"{name} is required"), F.col("id")))
-            shown = F.when(F.length(value) > 60, F.concat(F.substring(value, 1, 59), F.lit("…"))).otherwise(value)
-            out.append(_finding(mine.filter(has & ~has_type(value, type_)), "ATTR_TYPE", _say(f"{name} isn't {type_}: ", shown), F.col("id")))
-            if type_ == "enum":
-                out.append(_finding(mine.filter(has_type(value, "string") & ~value.isin(*map(as_json, spec["values"]))), "ATTR_ENUM", _say(f"{name} isn't one of its values: ", shown), F.col("id")))
-            if type_ == "list" and spec.get("items"):
-                each = F.transform(F.try_variant_get(F.try_parse_json(value), "$", "array<variant>"), literal_of)
-                items = mine.filter(has_type(value, "list")).select("*", F.posexplode(each).alias("at", "item"))
-                out.append(_finding(items.filter(~has_type(F.col("item"), spec["items"])), "ATTR_LIST_ITEMS", _say(f"{name}[", F.col("at").cast("string"), f"] isn't {spec['items']}"), F.col("id")))
+    """Kinds, ids, attributes and links, in one pass over the nodes with their degrees. A node of an unknown kind gets no other finding."""
+    d, kind, id_ = rel.degrees(r), F.col("kind"), F.col("id")
+    checks, many = [_told(~kind.isin(*p.node_kinds), "UNKNOWN_KIND", _say("unknown kind ", kind), id_)], []
+    off = reduce(lambda c, k: c.when(kind == k, ~id_.rlike(rf"(?U)\A(?:{p.node_kinds[k].pattern})\z")), p.node_kinds, F.when(F.lit(False), F.lit(False)))
+    checks.append(_told(off, "ID_FORMAT", _say("id doesn't fit the pattern of ", kind), id_))
+    for name, nk in p.node_kinds.items():
+        one, several = _attr_checks(d, name, nk)
+        checks += one
+        many += several
     pairs = [x for v in p.edge_kinds.values() for x in v]
-    sources, targets = sorted({s for s, _ in pairs}), sorted({t for _, t in pairs})
-    d = rel.degrees(Register(known.filter(~F.col("kind").isin(*[k for k, v in p.node_kinds.items() if v.orphan_ok])), r.edges))
-    out.append(_finding(d.filter(F.col("kind").isin(*targets) & ~F.col("has_incoming")), "UNREFERENCED", _say("nothing refers to it"), F.col("id")))
-    out.append(_finding(d.filter(F.col("kind").isin(*sources) & ~F.col("has_outgoing")), "UNTRACED", _say("it refers to nothing"), F.col("id")))
-    return out
+    expecting = [k for k, v in p.node_kinds.items() if not v.orphan_ok]
+    checks.append(_told(kind.isin(*sorted({t for _, t in pairs} & set(expecting))) & ~F.col("has_incoming"), "UNREFERENCED", _say("nothing refers to it"), id_))
+    checks.append(_told(kind.isin(*sorted({s for s, _ in pairs} & set(expecting))) & ~F.col("has_outgoing"), "UNTRACED", _say("it refers to nothing"), id_))
+    return [_spread(d, checks, *many)]
 
 
 def edge_checks(r: Register, p: Profile) -> list[DataFrame]:
-    spark = r.nodes.sparkSession
-    out = [_finding(r.edges.filter(~F.col("kind").isin(*p.edge_kinds)), "UNKNOWN_KIND", _say("unknown edge kind ", F.col("kind")))]
-    known = r.edges.filter(F.col("kind").isin(*p.edge_kinds))
+    """Kinds, ends, allowed pairs and EDGE_WHERE rules, in one pass over the edges with both ends resolved once."""
+    e, kind, src = rel.with_ends(r), F.col("kind"), F.col("src")
+    known = kind.isin(*p.edge_kinds)
+    checks = [_told(~known, "UNKNOWN_KIND", _say("unknown edge kind ", kind))]
     for end in ("tgt", "src"):
-        gone = rel.dangling(Register(r.nodes, known), end)
-        cross = F.col("kind").isin(*p.cross_source) if end == "tgt" else F.lit(False)
-        f = _finding(gone, "VACANCY", _say(f"{end} ", F.col(end), " isn't declared"), F.col("src"))
-        hint = _finding(gone.filter(cross), "VACANCY", _say(f"{end} ", F.col(end), " isn't declared"), F.col("src"), "hint")
-        out += [_finding(gone.filter(~cross), "VACANCY", _say(f"{end} ", F.col(end), " isn't declared"), F.col("src")), hint] if p.cross_source else [f]
-    allowed = spark.createDataFrame([(k, s, t) for k, v in p.edge_kinds.items() for s, t in v], "kind string, src_kind string, tgt_kind string")
-    ends = rel.with_ends(Register(r.nodes, known)).filter(F.col("src_kind").isin(*p.node_kinds) & F.col("tgt_kind").isin(*p.node_kinds))
-    out.append(_finding(ends.join(F.broadcast(allowed), ["kind", "src_kind", "tgt_kind"], "left_anti"), "EDGE_CONSTRAINT", _say("no ", F.col("kind"), " from ", F.col("src_kind"), " to ", F.col("tgt_kind")), F.col("src")))
+        gone, message = known & F.col(f"{end}_kind").isNull(), _say(f"{end} ", F.col(end), " isn't declared")
+        cross = kind.isin(*p.cross_source) if end == "tgt" and p.cross_source else F.lit(False)
+        checks += [_told(gone & ~cross, "VACANCY", message, src), _told(gone & cross, "VACANCY", message, src, "hint")]
+    pairs = {k: F.struct(F.col("src_kind").alias("s"), F.col("tgt_kind").alias("t")).isin(*(F.struct(F.lit(s).alias("s"), F.lit(t).alias("t")) for s, t in v)) if v else F.lit(False) for k, v in p.edge_kinds.items()}
+    allowed = reduce(lambda c, x: c.when(kind == x[0], x[1]), pairs.items(), F.when(F.lit(False), F.lit(True)))
+    both = F.col("src_kind").isin(*p.node_kinds) & F.col("tgt_kind").isin(*p.node_kinds)
+    checks.append(_told(known & both & ~allowed, "EDGE_CONSTRAINT", _say("no ", kind, " from ", F.col("src_kind"), " to ", F.col("tgt_kind")), src))
+    sides = {"edge": F.col("attrs"), "source": F.col("src_attrs"), "target": F.col("tgt_attrs")}
     for v in p.validations:
         if v["code"] == "EDGE_WHERE":
-            sides = {"edge": F.col("attrs"), "source": F.col("src_attrs"), "target": F.col("tgt_attrs")}
-            mine = ends.filter((F.col("kind") == v["edge_kind"]) & _both(v.get("when", {}), sides, True))
             why = F.coalesce(*(first_failing(v.get(what, {}).get(s, {}), c, what == "expect") for what in ("expect", "reject") for s, c in sides.items()))
-            out.append(_finding(mine.withColumn("_why", why).filter("_why is not null"), "EDGE_WHERE", F.col("_why"), F.col("src"), v.get("severity"), v.get("message")))
-    return out
+            checks.append(_told(both & (kind == v["edge_kind"]) & _both(v.get("when", {}), sides, True) & why.isNotNull(), "EDGE_WHERE", why, src, v.get("severity"), v.get("message")))
+    return [_spread(e, checks)]
 
 
 def _both(blocks: dict, sides: dict[str, Column], expect: bool) -> Column:
