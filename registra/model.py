@@ -59,6 +59,7 @@ class NodeKind:
     orphan_ok: bool = False
     texts: tuple | None = None  # attributes that a ranking reads; None: the summary
     chunk: str | None = None  # a text is cut at lines that start so
+    names: object = None  # how an id is an address of something in the sources, if it is
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from ..functions.predicates import condition, filters
 from ..model import Profile, Register
 from ..operators import graph, reports, walks
 from ..operators import relations as rel
-from ..sources import document, files, markdown, prose, toml_tables
+from ..sources import document, files, issues, markdown, prose, specs, symbols, toml_tables
 from . import validate
 
 
@@ -176,7 +176,7 @@ READERS: dict[str, Callable] = {
     "toml": lambda found, p, adapter: toml_tables.read_toml(found, adapter),
     "prose-xref": lambda found, p, adapter: prose.read_prose(found, adapter["paths"]["content_dirs"]),
 }
-READERS["md"] = READERS["markdown"]
+READERS |= {"md": READERS["markdown"], "entomologist": lambda found, p, adapter: issues.read_issues(found), "openspec": lambda found, p, adapter: specs.read_specs(found)}
 
 
 def load(spark, p: Profile, target: str, adapter: str | None = None, timeout: float = 60) -> Register:
@@ -190,8 +190,13 @@ def load(spark, p: Profile, target: str, adapter: str | None = None, timeout: fl
     globs = config.get("paths", {}).get("files", [])
     found = files.read_folder(spark, target, globs)
     r = READERS[name](found, p, config)
-    none = files.no_matching(found, globs)
-    return r if none is None else Register(r.nodes, r.edges, r.pathways, none if r.findings is None else r.findings.select(*none.columns).unionByName(none))
+    more = [files.no_matching(found, globs)]
+    named = {k: v.names for k, v in p.node_kinds.items() if v.names is not None}
+    if named:
+        more.append(symbols.missing(r.nodes, files.read_folder(spark, target, ["**"]), named))
+    columns = ["severity", "code", "message", "node_id", "file", "line"]
+    told = [x.select(*columns) for x in (r.findings, *more) if x is not None]
+    return Register(r.nodes, r.edges, r.pathways, rel._union(told) if told else None)
 
 
 def run_program(spark, command: list[str], timeout: float = 60) -> Register:

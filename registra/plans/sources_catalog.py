@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import text_of
 from ..model import Register, attrs, edge, literal, node
-from ..sources import document, files, markdown, prose, toml_tables
+from ..sources import document, files, issues, markdown, prose, specs, symbols, toml_tables
 from .catalog import key, query, table
 
 
@@ -194,3 +194,68 @@ def _decoding(spark, d):
             rows.finding(n, why)
 
     return files.scan(c, read).select("file", F.col("line").cast("int").alias("line"), F.expr("substring(message, length(file) + 3)").alias("why"))
+
+
+def _sources(spark, d):
+    """A Python, a Rust or a Go file for each nation, with a function for each of its customers."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("rows"))
+    name = lambda x: F.concat(F.lit("test_"), x.cast("string"))
+    python = _file(F.col("rows"), "import x\n\nclass T:\n    y = '''def test_no(): 0'''\n", lambda x: F.concat(F.lit("    def "), name(x), F.lit("(self):\n        def inner(): pass\n")))
+    rust = _file(F.col("rows"), '// fn no() {}\nmod t {\n    const S: &str = "} fn no() {";\n', lambda x: F.concat(F.lit("    fn "), name(x), F.lit("() { if true { fn inner() {} } }\n")), "}\nimpl X { fn no() {} }\n")
+    go = _file(F.col("rows"), "package t\n\nfunc (t *T) No() {}\n", lambda x: F.concat(F.lit("func "), name(x), F.lit("(t *T) { /* } */ }\n")))
+    m = F.col("c_nationkey") % 3
+    ending = F.when(m == 0, ".py").when(m == 1, ".rs").otherwise("_test.go")
+    return c.select(F.concat(F.lit("src/f"), F.col("c_nationkey").cast("string"), ending).alias("file"), F.when(m == 0, python).when(m == 1, rust).otherwise(go).alias("content"))
+
+
+_ADDRESS = "'src/f' || c_nationkey || CASE c_nationkey % 3 WHEN 0 THEN '.py::T::test_' WHEN 1 THEN '.rs::t::test_' ELSE '_test.go::test_' END"
+
+
+@query("V26_source_missing", f"SELECT 'SOURCE_MISSING' AS code, {_ADDRESS} || (c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 10000000 ELSE 0 END) || CASE WHEN c_nationkey % 3 = 0 THEN '[1]' ELSE '' END AS node_id FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT 'SOURCE_MISSING', 'src/../x.md' UNION ALL SELECT 'SOURCE_MISSING', 'src/none.md'")
+def _missing(spark, d):
+    """A test for each customer; every fourth has a number that no function has. Two files are named that aren't there."""
+    m, k = F.col("c_nationkey") % 3, F.col("c_custkey") + F.when(F.col("c_custkey") % 4 == 0, 10000000).otherwise(0)
+    address = F.concat(F.lit("src/f"), F.col("c_nationkey").cast("string"), F.when(m == 0, ".py::T::test_").when(m == 1, ".rs::t::test_").otherwise("_test.go::test_"), k.cast("string"), F.when(m == 0, "[1]").otherwise(""))
+    kind = F.when(m == 0, "py").when(m == 1, "rs").otherwise("go")
+    c = table(spark, d, "customer")
+    n = c.select(address.alias("id"), kind.alias("kind"), F.lit("f").alias("file"), F.lit(1).cast("long").alias("line"))
+    n = n.unionByName(spark.createDataFrame([("src/../x.md", "doc", "f", 1), ("src/none.md", "doc", "f", 2)], "id string, kind string, file string, line long"))
+    return symbols.missing(n, _sources(spark, d), {"py": "pytest", "rs": "cargo", "go": "gotest", "doc": "file"}).select("code", "node_id")
+
+
+@query("S29_issues", "SELECT md5(c_custkey::VARCHAR) AS id, '\"' || c_mktsegment || '\"' AS summary, CASE WHEN c_custkey % 3 = 0 THEN '\"done\"' ELSE '\"new\"' END AS state, CASE WHEN c_custkey % 5 = 0 THEN '[\"a,b/c\",\"z\"]' ELSE '[]' END AS tags, CASE WHEN c_custkey % 2 = 0 THEN md5((c_custkey + 1)::VARCHAR) END AS depends, (c_custkey % 7 = 0)::INTEGER AS faults FROM customer")
+def _issues(spark, d):
+    """An issue for each customer: a third have a state, a fifth tags, half a dependency, and a seventh a file that no issue has."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    id_ = F.md5(k.cast("string").cast("binary"))
+    entry = lambda path, text, when=F.lit(True): F.when(when, F.struct(F.concat_ws("/", id_, path).alias("file"), F.encode(text, "utf-8").alias("content")))
+    many = F.array(
+        entry(F.lit("description"), F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" \nmore"))), entry(F.lit("state"), F.lit("done\n"), k % 3 == 0), entry(F.lit("tags/z"), F.lit(""), k % 5 == 0),
+        entry(F.lit("tags/a,0b,1c"), F.lit(""), k % 5 == 0), entry(F.concat(F.lit("dependencies/"), F.md5((k + 1).cast("string").cast("binary"))), F.lit(""), k % 2 == 0), entry(F.lit("odd"), F.lit(""), k % 7 == 0),
+    )
+    r = issues.read_issues(c.select(F.explode(F.array_compact(many)).alias("f")).select("f.*"))
+    n = r.nodes.select("id", *(F.col("attrs")[a].alias(a) for a in ("summary", "state", "tags")))
+    n = n.join(r.edges.select(F.col("src").alias("id"), F.col("tgt").alias("depends")), "id", "left")
+    return n.join(r.findings.groupBy(F.col("node_id").alias("id")).agg(F.count("*").cast("int").alias("faults")), "id", "left").na.fill(0, ["faults"])
+
+
+def _specs(spark, d):
+    """A specification for each nation with a requirement for each customer, and a test source that cites every customer twice in a row, then once after a gap."""
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("rows"))
+    name = F.col("c_nationkey").cast("string")
+    spec = _file(F.col("rows"), "# Spec\n", lambda x: F.concat(F.lit("### Requirement: R "), x.cast("string"), F.lit("\nIt shall.\n#### Scenario: a\n#### Scenario: b\nVerified by x\n")), "## End\ntext\n")
+    tests = _file(F.col("rows"), "", lambda x: F.concat(F.lit("# Requirement: gone\n\n# Requirement: n"), F.col("c_nationkey").cast("string"), F.lit("/R "), x.cast("string"), F.lit("\n# Requirement: other\ndef test_"), x.cast("string"), F.lit("():\n    pass\n")))
+    return c.select(F.concat(F.lit("specs/n"), name, F.lit("/spec.md")).alias("file"), spec).unionByName(c.select(F.concat(F.lit("tests/t"), name, F.lit(".py")).alias("file"), tests))
+
+
+@query("S31_specs", """
+SELECT 'contains' AS kind, 'n' || c_nationkey AS src, 'n' || c_nationkey || '/R ' || c_custkey AS tgt FROM customer
+UNION ALL SELECT 'verifies', 'tests/t' || c_nationkey || '.py::test_' || c_custkey, unnest(['n' || c_nationkey || '/R ' || c_custkey, 'other']) FROM customer""")
+def _spec_edges(spark, d):
+    return specs.read_specs(_specs(spark, d)).edges.select("kind", "src", "tgt")
+
+
+@query("S31_requirements", "SELECT 'n' || c_nationkey || '/R ' || c_custkey AS id, 'R ' || c_custkey AS title, '2' AS scenarios, 'It shall.' || chr(10) || '#### Scenario: a' || chr(10) || '#### Scenario: b' AS body FROM customer")
+def _requirements(spark, d):
+    n = specs.read_specs(_specs(spark, d)).nodes.filter("kind = 'requirement'")
+    return n.select("id", text_of(F.col("attrs")["title"]).alias("title"), F.col("attrs")["scenarios"].alias("scenarios"), text_of(F.col("attrs")["body"]).alias("body"))

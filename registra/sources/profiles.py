@@ -10,6 +10,7 @@ from typing import Any
 from ..functions import templates
 from ..functions.predicates import parse_block
 from ..model import NodeKind, Profile
+from . import symbols
 
 #: Fixed values of the profile format: attribute types, list items, and the keys of each level.
 TYPES = ("bool", "date", "enum", "int", "list", "string")
@@ -150,12 +151,17 @@ def _node_kind(f: _Faults, name: str, raw: object) -> NodeKind:
         pattern = ".*"
     elif re.search(r"\(\?[=!<]|\\[1-9]", pattern):
         f.append(f"{where}: lookaround and backreferences aren't part of the pattern language")
+    if raw.get("id_names") is not None:
+        try:
+            symbols.form(raw["id_names"])
+        except ValueError as e:
+            f.append(f"{where}: id_names: {e}")
     declared = {a: _attr(f, spec, f"{where} attr '{a}'") for a, spec in (raw.get("attrs") or {}).items()}
     for key in ("summary_attr", "text_attrs"):
         for a in [raw[key]] if isinstance(raw.get(key), str) else raw.get(key) or []:
             if a not in declared:
                 f.append(f"{where}: '{key}' names the undeclared attr '{a}'")
-    return NodeKind(pattern, declared, raw.get("summary_attr"), bool(raw.get("orphan_ok", False)), None if raw.get("text_attrs") is None else tuple(raw["text_attrs"]), raw.get("text_chunk_line_prefix"))
+    return NodeKind(pattern, declared, raw.get("summary_attr"), bool(raw.get("orphan_ok", False)), None if raw.get("text_attrs") is None else tuple(raw["text_attrs"]), raw.get("text_chunk_line_prefix"), raw.get("id_names"))
 
 
 def _entry(f: _Faults, code: str, raw: object, p: dict) -> None:

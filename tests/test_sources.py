@@ -4,7 +4,9 @@ import pytest
 
 from registra.functions import templates
 from registra.sinks import render
-from registra.sources import files, markdown, profiles, prose, toml_tables
+from registra.model import NodeKind, Profile
+from registra.plans import service
+from registra.sources import files, markdown, profiles, prose, symbols, toml_tables
 from registra.sources.files import Rows
 
 
@@ -80,3 +82,25 @@ def test_rendering():
     assert render.clean("a\x1b[31mb\x07") == "ab" and render.cut_to("abcdef", 4) == "abc…"
     assert render.to_json({"b": None, "a": {"é": 1, "d": 2}}) == '{"a": {"d": 2, "\\u00e9": 1}}'
     assert list(render.columns([["a", 1], ["bcd", 22]])) == ["a     1", "bcd  22"]
+
+
+def test_definitions():
+    assert symbols.go_chains("func A() {}\nfunc (t T) B() { func() {}() }\nfunc C[T any](x T) {}") == [["A"], ["C"]]
+    assert symbols.rust_chains("fn a() {}\nmod m { mod n { fn b() { fn c() {} } } }\ntrait T { fn d(); }") == [["a"], ["m", "n", "b"]]
+    assert symbols.python_chains("class A:\n  def m(self): pass\n  class B:\n    def n(self): pass\nif 1:\n  def f(): pass") == [["A"], ["A", "m"]]
+    with pytest.raises(ValueError, match="preset"):
+        symbols.form("nose")
+
+
+def test_load_a_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.md").write_text("| ID |\n|---|\n| t/x.py::f |\n| t/x.py::g |\n| t/x.py::f |\n")
+    (tmp_path / "t" / "x.py").write_text("def f(): pass\n")
+    p = Profile({"k": NodeKind(names="pytest")}, {}, raw={"adapter": {"native": "md", "paths": {"files": ["**/*.md"]}, "table": {"id_column": "ID"}}})
+    r = service.load(spark, p, str(tmp_path))
+    assert sorted((x.id, x.file, x.line) for x in r.nodes.collect()) == [("t/x.py::f", "t/a.md", 3), ("t/x.py::g", "t/a.md", 4)]
+    assert sorted((x.code, x.node_id, x.line) for x in r.findings.collect()) == [("PARSE_ERROR", "t/x.py::f", 5), ("SOURCE_MISSING", "t/x.py::g", 4)]
+    none = service.load(spark, Profile({"k": NodeKind()}, {}, raw={"adapter": {"native": "md", "paths": {"files": ["*.txt"]}, "table": {"id_column": "ID"}}}), str(tmp_path))
+    assert [x.code for x in none.findings.collect()] == ["NO_MATCHING_FILES"] and none.nodes.count() == 0
+    with pytest.raises(ValueError, match="no adapter"):
+        service.load(spark, Profile({}, {}), str(tmp_path))
