@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -31,27 +32,80 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Texts are hashed in pieces of about so many characters, which bounds the words held as Python objects.
+PIECE = 1 << 20
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word of a text, A-Z lower-cased; bytes.split() cuts at just the bytes of SPACE."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(raw) <= PIECE:
+        words = raw.split()
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out, at = [], 0
+    while at < len(raw):  # a piece ends before a space
+        end = at + PIECE
+        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+            end += 1
+        words = raw[at:end].split()
+        out.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out)
+
+
+def pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts of about PIECE characters together; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        n = len(t or "")
+        if run and held + n > PIECE:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += n
+    if run:
+        yield run
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct runs of width words, sorted, one text after another, and how many each has.
+
+    A shorter text is one run, hashed apart from others; a text without words has none."""
+    each = [word_hashes(t) for t in texts]
+    n = np.array([len(w) for w in each], np.int64)
+    h = np.concatenate([*each, np.zeros(0, np.uint64)])
+    acc, size = h[:0], np.maximum(n - width + 1, 0)
+    if len(h) >= width:
+        doc = np.repeat(np.arange(len(n)), n)
+        acc = h[: len(h) - width + 1]
+        for i in range(1, width):
+            acc = acc * _K + h[i : len(h) - width + 1 + i]
+        acc = mix64(acc)[doc[: len(doc) - width + 1] == doc[width - 1 :]]
+    few_words = np.flatnonzero((n > 0) & (n < width))
+    if len(few_words):
+        whole = []
+        for d in few_words:
+            x = np.array([n[d]], np.uint64)
+            for w in each[d]:
+                x = mix64(x * _K + w)
+            whole.append(x[0])
+        acc = np.insert(acc, (np.cumsum(size) - size)[few_words], np.array(whole, np.uint64))
+        size[few_words] = 1
+    end = np.cumsum(size)
+    for a, b in zip((end - size).tolist(), end.tolist(), strict=True):
+        if b - a > 1:
+            acc[a:b].sort()
+    first = np.ones(len(acc), bool)
+    first[1:] = acc[1:] != acc[:-1]
+    starts = (end - size)[size > 0]
+    first[starts] = True
+    total = np.r_[0, np.cumsum(first)]
+    return acc[first], total[end] - total[end - size]
 
 
 def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the runs of width words; a shorter text is one run, a text without words has none."""
-    h = word_hashes(text)
-    n = len(h)
-    if not n:
-        return h
-    if n < width:
-        acc = np.array([n], np.uint64)
-        for i in range(n):
-            acc = mix64(acc * _K + h[i : i + 1])
-        return acc
-    acc = h[: n - width + 1]
-    for i in range(1, width):
-        acc = acc * _K + h[i : n - width + 1 + i]
-    return np.unique(mix64(acc))
+    """Sorted distinct hashes of a text's runs of width words."""
+    return shingle_sets([text], width)[0]
 
 
 def ascii_lower(c: Column) -> Column:
@@ -89,14 +143,13 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/registra-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
         return out
 
     def release(self) -> None:
@@ -108,7 +161,7 @@ class Scratch:
         """Deletes tables that no returned frame reads any more."""
         jvm = self.spark.sparkContext._jvm
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            if path := df.__dict__.pop("_scratch_path", None):
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,19 +32,58 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("limits", [(16, 64), (1, 1)])
-def test_ngram_join_equals_brute_force(spark, docs, limits, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LIGHT", limits[0])
-    monkeypatch.setattr(ngram_join, "RARE", limits[1])
-    sets = {i: shingles(t) for i, t in enumerate(TEXTS)}
-    root = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
-    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_links(docs).collect()}
-    assert got == {i: (len(s), root[i]) for i, s in sets.items()}
+def brute_force_groups(texts):
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 4 * both >= 3 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {i: (len(s), top(i)) for i, s in enumerate(sets)}
+
+
+def shared_passages(n):
+    """Texts of which most is a passage that all have, near copies of some, and short texts."""
+    rng = random.Random(3)
+    passage, out = prose(70).split(), []
+    for i in range(n):
+        own = [f"u{i}x{k}" for k in range(rng.choice([4, 10, 16, 25, 40, 70]))]
+        at = rng.randrange(len(own))
+        out.append(" ".join(own[:at] + passage + own[at:]))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w = out[-1].split()
+            w[rng.randrange(len(w))] = f"e{rng.random()}"
+            out.append(" ".join(w))
+    return out + [prose(rng.randrange(1, 14)) for _ in range(n)] + ["a b c d e f g", "a b c d e f g h", "b c d e f g"]
+
+
+@pytest.mark.parametrize("cost", [2.0, 0.0])
+def test_ngram_join_equals_brute_force(spark, cost, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COST", cost)
+    texts = TEXTS + shared_passages(40)
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, n_shingles int")
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_links(d).collect()}
+    assert got == brute_force_groups(texts)
+
+
+def test_neighbourhoods_lose_no_pair():
+    """Pairs whose segments differ as much as allowed meet by worths of 2 alone."""
+    rng = np.random.default_rng(4)
+    for size in (2, 5, 9, 30, 200):
+        h = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        other = np.unique(np.r_[h[: len(h) - len(h) // 8], rng.integers(0, 1 << 63, len(h) // 8).astype(np.uint64)])
+        a, b = (next(ngram_join.neighbourhoods(x, 75)) for x in (h, other))
+        if a[0] == b[0]:
+            met = {int(s) for s, k, e in zip(a[3], a[2], a[4], strict=True) for k2, e2 in zip(b[2], b[4], strict=True) if k == k2 and (e or e2)}
+            assert met
 
 
 def test_ngram_join_of_nothing(docs):
