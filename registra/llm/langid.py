@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, pieces
 
 ORDERS, TOP = 3, 300
 #: Texts per language that a profile is learnt from, chosen by a hash of the id; a documented bound for the fit alone.
 FIT_TEXTS = 4000
-MOST_LANGUAGES = 2000
+#: Different n-grams that a task counts before it passes them on.
+HELD = 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,27 +52,48 @@ def profile(g: np.ndarray) -> np.ndarray:
     return keys[np.lexsort((keys, -n))[:TOP]]
 
 
+def add_counts(old: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by sorted key, of both together."""
+    if old is None:
+        return keys, n
+    every, at = np.unique(np.r_[old[0], keys], return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, at, np.r_[old[1], n])
+    return every, total
+
+
 def learn(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> list[tuple[str, np.ndarray]]:
-    """docs: id, text, lang -> profiles by language. Rows without text or lang teach nothing. About fit_texts texts of each language are counted, whole, on the executors; TOP rows a language come back."""
+    """docs: id, text, lang -> profiles by language. Rows without text or lang teach nothing.
+
+    About fit_texts texts of each language, chosen by a hash of their ids, are counted, whole, on the executors in pieces; a row a language and then
+    TOP rows a language come back to the driver, so memory there grows with the number of different lang values alone. Repeated rows count each time; ties in frequency go by hash."""
     docs = docs.select("id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
-    langs = docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1)
-    sizes = langs.collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return []
     rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_texts / r["n"])) for r in sizes], "lang string, rate double")
     part = docs.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (g := grams(text)) is not None:
-                    by.setdefault(lang, []).append(g)
-            for lang, all_ in by.items():
-                keys, n = np.unique(np.concatenate(all_), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            at, langs = 0, b.column(1).to_pylist()
+            for texts in pieces(b.column(0).to_pylist()):
+                by: dict[str, list[np.ndarray]] = {}
+                for text, lang in zip(texts, langs[at : at + len(texts)], strict=True):
+                    if (g := grams(text)) is not None:
+                        by.setdefault(lang, []).append(g)
+                at += len(texts)
+                for lang, all_ in by.items():
+                    held[lang] = add_counts(held.get(lang), *np.unique(np.concatenate(all_), return_counts=True))
+                if sum(len(k) for k, _ in held.values()) > HELD:
+                    yield from told(held)
+                    held = {}
+        yield from told(held)
+
+    def told(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (keys, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = part.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= TOP)
