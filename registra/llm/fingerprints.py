@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, few
 
-#: A paragraph (leaf) ends with a sentence or line, at the latest after 24 code points, and what ends it belongs to it; leaves cover the whole text.
-PARAGRAPH = r"(?s)[^.!?\n]{1,24}[.!?\n]*|[.!?\n]+"
+#: A paragraph (leaf) is a sentence or a line with what ends it. A longer one is cut past 64 code points after a word that ends with one of
+#: a few letters, so that borders follow the text and not its place, at the latest after 256. Leaves cover the whole text.
+PARAGRAPH = r"(?s)[^.!?\n]{1,63}[.!?\n]+|[^.!?\n]{64,255}?(?:[.!?\n]+|[dlmrsx] )|[^.!?\n]{1,256}[.!?\n]*|[.!?\n]+"
 #: A section ends with a leaf whose hash ends with 0, at the latest with the 32nd, so an insertion moves no borders beyond its section.
 SECTION = "(?:[0-9a-f]{31}[1-9a-f]){0,31}(?:[0-9a-f]{31}0)?"
+#: Buckets of neighbouring ids at most; one of them holds a row in so many.
+MOST_BUCKETS = 16_384
 
 
 def tree(text: Column) -> Column:
@@ -21,22 +25,23 @@ def tree(text: Column) -> Column:
 
 
 def fingerprint(nodes: Column) -> Column:
-    """A tree as root|section:leaves;section:leaves...: the root in 32 hex digits, each section and leaf in 8. Null and empty texts have a root over nothing.
+    """A tree as root|section:leaves;section:leaves...: the root in 32 hex digits, each section in 16 and each leaf in 8. Null and empty texts have a root over nothing.
 
-    The root is the hash of the sections' hashes, a section's that of its leaves', each in full (128 bits), so equal roots mean
-    equal texts, equal sections equal stretches, and only differing sections need a look at their leaves. Pass a column that holds
+    The root is the hash of the sections' hashes, a section's that of its leaves', each in full (128 bits), so equal roots mean equal
+    texts. Shown sections are cut to 64 bits and leaves to 32: a comparison of two texts of n leaves takes two different leaves for equal with a
+    chance of some n * n / 2^32, and only differing sections need a look at their leaves. Pass a column that holds
     a tree rather than tree(...) itself, which would be built once for the root and again for the rest."""
     root = F.md5(F.array_join(F.transform(nodes, lambda n: n.h), "").cast("binary"))
-    return F.concat(root, F.lit("|"), F.array_join(F.transform(nodes, lambda n: F.concat(F.substring(n.h, 1, 8), F.lit(":"), n.leaves)), ";"))
+    return F.concat(root, F.lit("|"), F.array_join(F.transform(nodes, lambda n: F.concat(F.substring(n.h, 1, 16), F.lit(":"), n.leaves)), ";"))
 
 
 def leaves_of(fp: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(F.substring(fp, 34, 1 << 30), "[0-9a-f]{8}:|;", ""), F.lit("[0-9a-f]{8}"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(F.substring(fp, 34, 1 << 30), "[0-9a-f]{16}:|;", ""), F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
 def sections_of(fp: Column) -> Column:
     """Structs of section hash and leaves, in order."""
-    return F.transform(F.filter(F.split(F.substring(fp, 34, 1 << 30), ";"), lambda s: s != ""), lambda s: F.struct(F.substring(s, 1, 8).alias("section"), F.regexp_extract_all(F.substring(s, 10, 1 << 30), F.lit("[0-9a-f]{8}"), F.lit(0)).alias("leaves")))
+    return F.transform(F.filter(F.split(F.substring(fp, 34, 1 << 30), ";"), lambda s: s != ""), lambda s: F.struct(F.substring(s, 1, 16).alias("section"), F.regexp_extract_all(F.substring(s, 18, 1 << 30), F.lit("[0-9a-f]{8}"), F.lit(0)).alias("leaves")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,19 +69,29 @@ def successors(keys: DataFrame) -> DataFrame:
     return within.join(firsts.select("cell", after.alias("after")), "cell").select("key", F.coalesce("next", "after").alias("next"))
 
 
+def _rank(c: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most c, by halving."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    steps = F.lit(np.array([1 << i for i in reversed(range(len(bounds).bit_length()))], np.int64))
+    held = F.lit(np.array(bounds, np.int64))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(held, (p + s - 1).cast("int")) <= c), p + s).otherwise(p))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs: id, text -> with next_text, the text of the next row by ascending id (then text), after the last that of the first.
 
-    Rows meet in buckets of about 256 by id, so no task sees more whatever the number of rows; the last row of a bucket gets the
-    first row of the next bucket that isn't empty."""
+    Rows meet in buckets of about 256 by quantiles of the ids, MOST_BUCKETS at most, however the ids are spread; a bucket is sorted, with
+    spilling, and read one row ahead. The last row of a bucket gets the first row of the next bucket. Rows of one id and rows without an id lie in one bucket."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    s = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    if not s["n"]:
+    n = docs.count()
+    if not n:
         return docs.withColumn("next_text", F.lit(""))
-    lo, hi = s["lo"] or 0, s["hi"] or 0
-    width = max(1, (hi - lo + 1) * 256 // s["n"])
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("id").cast("decimal(20,0)") - F.lit(lo)) / F.lit(width))).cast("long")  # null ids come first
+    buckets = max(1, min(MOST_BUCKETS, n // 256))
+    at = np.arange(1, buckets) / buckets
+    bounds = (docs.agg(F.percentile_approx("id", F.lit(at), F.lit(10 * buckets)).alias("b")).first()["b"] or []) if len(at) else []
+    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(_rank(F.col("id"), sorted(set(bounds))))  # null ids come first
     d = docs.withColumn("bucket", bucket)
     firsts = d.groupBy("bucket").agg(F.min("id").alias("id"))
     chain = scratch.cut(successors(firsts.select(F.col("bucket").alias("key"))).select(F.col("key").alias("before"), F.col("next").alias("bucket")).join(firsts, "bucket"))
