@@ -96,11 +96,6 @@ def _coverage_report(spark, d):
     return rel.coverage_report(shop(spark, d))
 
 
-@query("J4_orphans", "SELECT 'P-' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'O-' || o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND false")
-def _orphans(spark, d):
-    return rel.orphans(shop(spark, d)).select("id")
-
-
 @query("J5_edge_constraint", "SELECT 'supplier' AS src_kind, 'in_nation' AS kind, count(*) AS n FROM supplier")
 def _constraint(spark, d):
     r = shop(spark, d)
@@ -266,7 +261,7 @@ def _taint(spark, d):
     return graph.reach(r.nodes, r.edges.filter("kind in ('placed_by', 'of_order')"), "C-1", reverse=True, check_resolved=True).select("id", "tainted")
 
 
-@query("G5_path", "SELECT 'P-13>P-6>P-3>P-1' AS nodes, 'derives,derives,derives' AS kinds")
+@query("G5_path", "WITH RECURSIVE w AS (SELECT 13::BIGINT AS k, 'P-13' AS nodes, []::VARCHAR[] AS kinds FROM part WHERE p_partkey = 13 UNION ALL SELECT k // 2, nodes || '>P-' || (k // 2), list_append(kinds, 'derives') FROM w WHERE k > 1) SELECT nodes, array_to_string(kinds, ',') AS kinds FROM w WHERE k = 1")
 def _path(spark, d):
     return graph.path(_tree(spark, d), "P-13", "P-1").select(F.array_join("nodes", ">").alias("nodes"), F.array_join("kinds", ",").alias("kinds"))
 
@@ -437,7 +432,7 @@ def _at(spark, d):
     return reports.at(n, "log/view").union(reports.at(n, "./log/click/1")).select("id")
 
 
-@query("P16_absent_attrs", "SELECT 'nosuch' AS attr")
+@query("P16_absent_attrs", "SELECT attr FROM (SELECT 'status' AS attr, (SELECT count(o_orderstatus) FROM orders) AS n UNION ALL SELECT 'nosuch', 0 UNION ALL SELECT 'brand', (SELECT count(p_brand) FROM part)) WHERE n = 0")
 def _absent(spark, d):
     return reports.absent_attrs(shop(spark, d).nodes, ["status", "nosuch", "brand"])
 
@@ -489,14 +484,14 @@ def _notes(spark, d):
     return f.select("code", "node_id", "note", F.col("expired").cast("string").alias("expired")).unionByName(more.select("code", "node_id"), allowMissingColumns=True)
 
 
-@query("V20_V22_stale_config", "SELECT 'warning' AS severity, 'PATHWAY_UNRESOLVED' AS code, 'no pathway gone' AS message UNION ALL SELECT 'info', 'OVERRIDE_UNUSED', 'nothing has the code NOT_SHIPPED'")
+@query("V20_V22_stale_config", "WITH f AS (SELECT DISTINCT 'EDGE_CONSTRAINT' AS code FROM supplier), b AS (SELECT unnest(['EDGE_CONSTRAINT', 'VACANCY']) AS code) SELECT 'warning' AS severity, 'PATHWAY_UNRESOLVED' AS code, 'no pathway gone' AS message FROM b JOIN f USING (code) UNION ALL SELECT 'info', 'OVERRIDE_UNUSED', 'nothing has the code ' || c FROM (SELECT 'NOT_SHIPPED' AS c) WHERE c NOT IN (SELECT code FROM f)")
 def _stale(spark, d):
     r, f = _suppliers_off(spark, d)
     p = Profile(SHOP.node_kinds, SHOP.edge_kinds, overrides={"NOT_SHIPPED": "info", "COVERAGE": "error"}, pathway_bindings={"EDGE_CONSTRAINT": ("gone", "status"), "VACANCY": ("gone", "status"), "COVERAGE": ("priority", "priority")})
     return reports.stale_config(f, r, p, set(validate.SEVERITY))
 
 
-@query("V24_suggested_edges", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'SUGGESTION_UNRESOLVED' ELSE 'SUGGESTED_EDGE' END AS code, 'O-' || o_orderkey AS node_id, 'placed_by to C-' || o_custkey || ', score 0.5000' AS message FROM orders")
+@query("V24_suggested_edges", "SELECT CASE WHEN o_orderstatus = 'P' THEN 'SUGGESTION_UNRESOLVED' ELSE 'SUGGESTED_EDGE' END AS code, 'O-' || o_orderkey AS node_id, 'placed_by to C-' || o_custkey || ', score ' || printf('%.4f', (o_orderkey % 1000) / 1000.0) AS message FROM orders")
 def _suggested(spark, d):
-    s = table(spark, d, "orders").select(key("O-", "o_orderkey").alias("src"), key("C-", "o_custkey").alias("tgt"), F.lit("placed_by").alias("kind"), F.lit(0.5).alias("score"))
+    s = table(spark, d, "orders").select(key("O-", "o_orderkey").alias("src"), key("C-", "o_custkey").alias("tgt"), F.lit("placed_by").alias("kind"), ((F.col("o_orderkey") % 1000) / 1000.0).alias("score"))
     return reports.suggestion_findings(shop(spark, d, open_orders=False), s).select("code", "node_id", "message")

@@ -152,7 +152,7 @@ def _vacancy_ends(spark, d):
     return f.groupBy(F.substring("message", 1, 3).alias("part"), "severity").agg(F.count("*").alias("n"))
 
 
-@query("J4_orphans_all", "SELECT 'P-' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 20) UNION ALL SELECT 'C-' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("J4_orphans", "SELECT 'P-' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 20) UNION ALL SELECT 'C-' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _orphans_all(spark, d):
     """Parts without a small line, and customers without an open order."""
     o, l = table(spark, d, "orders").filter("o_orderstatus = 'P'"), table(spark, d, "lineitem").filter("l_quantity < 20")  # noqa: E741
