@@ -190,7 +190,7 @@ def load(spark, p: Profile, target: str, adapter: str | None = None, timeout: fl
     globs = config.get("paths", {}).get("files", [])
     found = files.read_folder(spark, target, globs)
     r = READERS[name](found, p, config)
-    more = [files.no_matching(found, globs)]
+    more = [files.no_matching(found, globs, target, files.read_folder(spark, target, ["**"]))]
     named = {k: v.names for k, v in p.node_kinds.items() if v.names is not None}
     if named:
         more.append(symbols.missing(r.nodes, files.read_folder(spark, target, ["**"]), named))

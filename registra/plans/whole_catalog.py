@@ -17,7 +17,7 @@ from ..operators import graph, ranking, reports, walks
 from ..operators import relations as rel
 from ..shared import shared_folder
 from ..sinks import render
-from ..sources import profiles
+from ..sources import profiles, trace
 from . import fuse, service, validate
 from .catalog import SHOP, SQL, _tree, key, query, shop, table
 
@@ -396,3 +396,28 @@ def _exit_codes(spark, d):
 def _scc_chain(spark, d):
     """A tree has no cycle: each part is a component of its own, whatever the order of names."""
     return graph.sccs(_tree(spark, d).filter("tgt <> 'P-0'"))
+
+
+@query("S42_trace_round_trip", """
+SELECT 'node' AS what, 'C-' || c_custkey AS id, 'customer' AS kind, NULL AS far FROM customer UNION ALL SELECT 'node', 'O-' || o_orderkey, 'order', NULL FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'edge', 'O-' || o_orderkey, 'placed_by', 'C-' || o_custkey FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'finding', 'O-' || o_orderkey, 'CONSTRAINT', 'warning' FROM orders WHERE o_orderkey % 5 = 0 AND o_orderstatus = 'P'""")
+def _trace_round_trip(spark, d):
+    """A trace written as JSON lines and read again, pathways included."""
+    r = _orders(spark, d)
+    five = "kind = 'customer' or cast(substring(id, 3) as bigint) % 5 = 0"
+    r = Register(r.nodes.filter(five), r.edges.filter(five.replace("id", "src").replace("kind = 'customer' or ", "")), r.pathways)
+    p = Profile(SHOP.node_kinds, {"placed_by": [("order", "customer")]}, validations=({"code": "CONSTRAINT", "node_kind": "order", "reject": {"status": {"eq": "P"}}},))
+    f = validate.finish(rel._union(validate.rule_checks(r, p)), r, p)
+    lines = list(enumerate(render.trace(r, f, p, "json")))
+    back = trace.read_trace(spark.createDataFrame(lines, "line long, text string"))
+    assert back.pathways == r.pathways
+    n = back.nodes.select(F.lit("node").alias("what"), "id", "kind", F.lit(None).cast("string").alias("far"))
+    e = back.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), "kind", F.col("tgt").alias("far"))
+    return n.unionByName(e).unionByName(back.findings.select(F.lit("finding").alias("what"), F.col("node_id").alias("id"), F.col("code").alias("kind"), F.col("severity").alias("far")))
+
+
+@query("K10_scope_line", """
+SELECT 'scope: 1 files; nodes customer ' || (SELECT count(*) FROM customer) || ' ghost 0 line 0 nation 0 order ' || (SELECT count(*) FROM orders) || ' part 0 region 0 supplier 0; edges in_nation 0 in_region 0 of_order 0 of_part 0 placed_by ' || (SELECT count(*) FROM orders) AS line""")
+def _scope_line(spark, d):
+    r = _orders(spark, d)
+    return spark.createDataFrame([(render.scope_line(reports.scope(r, SHOP), r),)], "line string")

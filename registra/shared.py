@@ -18,8 +18,22 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Tables that cut() wrote and clean() hasn't deleted.
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame and reads it back, so what follows survives the loss of any executor."""
+    """Writes a frame and reads it back, so what follows survives the loss of any executor. Results may read such tables, so they stay until clean()."""
     path = f"{shared_folder(df.sparkSession)}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all tables of cut(), once the results that read them were taken; returns how many there were."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    while _written:
+        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n

@@ -111,11 +111,12 @@ def table(df: DataFrame, form: str = "plain", order: list[str] | None = None) ->
         yield "  ".join(clean("" if r[c] is None else r[c]).rjust(width[c]) if isinstance(r[c], int | float) and not isinstance(r[c], bool) else clean("" if r[c] is None else r[c]).ljust(width[c]) for c in df.columns).rstrip()
 
 
-def scope_line(scope: DataFrame) -> str:
-    """scope: N files; nodes kind n ...; edges kind n ...; the rows are kinds that a profile declares."""
+def scope_line(scope: DataFrame, r: Register) -> str:
+    """scope: N files; nodes kind n ...; edges kind n ...; the rows of scope are kinds that a profile declares."""
+    n_files = r.nodes.select("file").union(r.edges.select("file")).distinct().count()
     rows = scope.collect()
     part = lambda what: " ".join(f"{r.kind} {r.n}" for r in sorted(rows, key=lambda r: r.kind) if r.what == what)
-    return f"nodes {part('node')}; edges {part('edge')}"
+    return f"scope: {n_files} files; nodes {part('node')}; edges {part('edge')}"
 
 
 def node_order(nodes: DataFrame, worst: DataFrame, p: Profile, by: str = "kind") -> DataFrame:

@@ -44,11 +44,24 @@ def read_folder(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
     return matching(files.select(F.substring(path, F.lit(len(clean) + 2), F.length("path")).alias("file"), "content"), globs)
 
 
-def no_matching(files: DataFrame, globs: list[str]) -> DataFrame | None:
-    """NO_MATCHING_FILES if nothing fits."""
+def retarget(files: DataFrame, globs: list[str], target: str) -> str | None:
+    """The folder above a target that a glob was probably meant from: its leading folders repeat the target's own, and without them it fits a file."""
+    own = target.rstrip("/").split("/")
+    for g in globs:
+        lead = g.split("/")[:-1]
+        for n in range(min(len(lead), len(own)), 0, -1):
+            if lead[:n] == own[-n:] and matching(files, ["/".join(g.split("/")[n:])]).limit(1).count():
+                return "/".join(own[:-n]) or "/"
+    return None
+
+
+def no_matching(files: DataFrame, globs: list[str], target: str = "", every: DataFrame | None = None) -> DataFrame | None:
+    """NO_MATCHING_FILES if nothing fits, with the target to use instead if one suggests itself; every: all files below the target."""
     if matching(files, globs).limit(1).count():
         return None
-    return files.sparkSession.createDataFrame([("info", "NO_MATCHING_FILES", f"no file matches {', '.join(globs)}", None, "<profile>", 0)], "severity string, code string, message string, node_id string, file string, line long")
+    hint = retarget(every, globs, target) if every is not None else None
+    message = f"no file matches {', '.join(globs)}" + (f"; with the target {hint} some do" if hint else "")
+    return files.sparkSession.createDataFrame([("info", "NO_MATCHING_FILES", message, None, "<profile>", 0)], "severity string, code string, message string, node_id string, file string, line long")
 
 
 def decode(content: bytes | None) -> tuple[list[str | None], list[tuple[int, str]]]:

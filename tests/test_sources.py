@@ -102,5 +102,7 @@ def test_load_a_folder(spark, tmp_path):
     assert sorted((x.code, x.node_id, x.line) for x in r.findings.collect()) == [("PARSE_ERROR", "t/x.py::f", 5), ("SOURCE_MISSING", "t/x.py::g", 4)]
     none = service.load(spark, Profile({"k": NodeKind()}, {}, raw={"adapter": {"native": "md", "paths": {"files": ["*.txt"]}, "table": {"id_column": "ID"}}}), str(tmp_path))
     assert [x.code for x in none.findings.collect()] == ["NO_MATCHING_FILES"] and none.nodes.count() == 0
+    astray = service.load(spark, Profile({"k": NodeKind()}, {}, raw={"adapter": {"native": "md", "paths": {"files": ["t/*.md"]}, "table": {"id_column": "ID"}}}), str(tmp_path / "t"))
+    assert astray.findings.first().message.endswith(f"with the target {tmp_path} some do")
     with pytest.raises(ValueError, match="no adapter"):
         service.load(spark, Profile({}, {}), str(tmp_path))

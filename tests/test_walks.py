@@ -127,3 +127,16 @@ def test_fuse_refuses(tmp_path):
     f = fuse.compile_fuse_profile({"edge_kinds": {"e": {"allowed": [["a:x", "b:y"]]}}, "validations": [{"COVERAGE": {"target_kind": "b:y", "edge_kind": "e"}}]})
     with pytest.raises(fuse.FuseError, match="b:y"):
         fuse.check_endpoints(f, {"a": Profile({"x": NodeKind()}, {})})
+
+
+def test_loop_tables_are_deleted(spark):
+    import os
+
+    from registra import shared
+
+    shared.clean(spark)
+    r = made(spark, ["a", "b"], [("a", "b")])
+    assert walks.component_order(r.nodes.select("id"), r.edges).count() == 2
+    written = list(shared._written)
+    assert written and all(os.path.exists(w.removeprefix("file:")) for w in written)
+    assert shared.clean(spark) == len(written) and not any(os.path.exists(w.removeprefix("file:")) for w in written)
