@@ -97,7 +97,7 @@ def _profile_validate(spark, d):
 
 
 @query("S40_notes_file", """
-SELECT 'CONSTRAINT' AS code, 'O-' || o_orderkey AS node_id, CASE WHEN o_orderkey <= 2 THEN 'known' END AS note, CASE WHEN o_orderkey <= 2 THEN (o_orderkey = 1)::VARCHAR END AS expired FROM orders WHERE o_orderstatus = 'F'
+SELECT 'CONSTRAINT' AS code, 'O-' || o_orderkey AS node_id, CASE WHEN o_orderkey IN (1, 2) THEN 'known' END AS note, CASE WHEN o_orderkey IN (1, 2) THEN (o_orderkey = 1)::VARCHAR END AS expired FROM orders WHERE o_orderstatus = 'F'
 UNION ALL SELECT 'NOTE_EXPIRED', NULL, NULL, NULL FROM orders WHERE o_orderkey = 1 AND o_orderstatus = 'F' UNION ALL SELECT 'NOTE_UNUSED', NULL, NULL, NULL FROM orders WHERE o_orderkey IN (1, 2) AND o_orderstatus <> 'F'
 UNION ALL SELECT 'NOTE_UNUSED', NULL, NULL, NULL UNION ALL SELECT unnest(['NOTE_INVALID', 'NOTE_INVALID', 'NOTE_INVALID', 'NOTE_INVALID']), NULL, NULL, NULL""")
 def _notes_file(spark, d):
