@@ -82,13 +82,13 @@ def ordered(suggestions: DataFrame) -> DataFrame:
 
 def read_suggestions(docs: DataFrame) -> DataFrame:
     """docs: text, each a suggestion document -> src, tgt, kind, score, basis. A malformed document or entry raises."""
-    from ..sources.document import ContractError, _list, _object, _text, type_name
+    from ..sources.document import _STRICT, ContractError, _object, _text, entries_of, items_of, type_name
 
-    p = docs.select(F.try_parse_json("text").alias("v")).withColumn("top", _object(F.col("v")))
-    e = p.select(F.posexplode(_list(F.col("top")["suggestions"])).alias("at", "e")).select("at", _object(F.col("e")).alias("m"))
-    top, m = F.col("top"), F.col("m")
-    version = F.coalesce(top["suggestions_version"], top["version"])
-    bad_doc = p.filter(top.isNull() | ~F.coalesce(_text(version).isin(*VERSIONS), F.lit(False)) | ~F.coalesce(type_name(top["suggestions"]) == "list", F.lit(False)))
+    known = "suggestions_version variant, version variant, suggestions array<variant>"
+    p = docs.select(F.col("text").cast("string").alias("text")).select("text", F.json_object_keys("text").alias("keys"), F.from_json("text", known, _STRICT).alias("s"))
+    m, version = F.col("m"), F.coalesce(F.col("s.suggestions_version"), F.col("s.version"))
+    bad_doc = p.filter(F.col("keys").isNull() | (F.size(F.array_distinct("keys")) < F.size("keys")) | ~F.coalesce(_text(version).isin(*VERSIONS), F.lit(False)) | F.col("s.suggestions").isNull())
+    e = entries_of(p, items_of(F.col("text"), "suggestions"))
     bad = e.filter(m.isNull() | F.exists(F.array(*(F.coalesce(type_name(m[k]) == "string", F.lit(False)) for k in ("src", "tgt", "kind"))), lambda x: ~x) | ~F.coalesce(type_name(m["score"]).isin("int", "float"), F.lit(False)))
     if bad_doc.limit(1).count():
         raise ContractError(f"a suggestion document needs a version of {', '.join(VERSIONS)} and a list of suggestions")
