@@ -409,8 +409,7 @@ def _trace_round_trip(spark, d):
     r = Register(r.nodes.filter(five), r.edges.filter(five.replace("id", "src").replace("kind = 'customer' or ", "")), r.pathways)
     p = Profile(SHOP.node_kinds, {"placed_by": [("order", "customer")]}, validations=({"code": "CONSTRAINT", "node_kind": "order", "reject": {"status": {"eq": "P"}}},))
     f = validate.finish(rel._union(validate.rule_checks(r, p)), r, p)
-    lines = list(enumerate(render.trace(r, f, p, "json")))
-    back = trace.read_trace(spark.createDataFrame(lines, "line long, text string"))
+    back = trace.read_trace(render.trace_lines(r, f, p))
     assert back.pathways == r.pathways
     n = back.nodes.select(F.lit("node").alias("what"), "id", "kind", F.lit(None).cast("string").alias("far"))
     e = back.edges.select(F.lit("edge").alias("what"), F.col("src").alias("id"), "kind", F.col("tgt").alias("far"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..model import Profile, Register
+from ..shared import cut
 
 CONTROL = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-_]|[\x00-\x08\x0b-\x1f\x7f]")
 COLOURS = {"error": "31", "warning": "33", "info": "36", "hint": "2"}
@@ -98,6 +99,30 @@ def trace(r: Register, found: DataFrame, p: Profile, form: str = "plain") -> Ite
         yield to_json({"pathway": name, "order": order, "current": current}) if form == "json" else f"pathway {name}: " + ", ".join(f"[{x}]" if x == current else x for x in order)
 
 
+def trace_lines(r: Register, found: DataFrame, p: Profile) -> DataFrame:
+    """The JSON lines of trace() as a frame (line, text) that executors make, for traces that no driver should hold: an entry a node, then findings that fit no node, then pathways.
+
+    Keys may stand in another order than trace()'s, and an attribute that is null is written as such. A node's edges and findings are one row. The lines are written once, to the shared folder, and numbered from 0 there."""
+    kinds = {k: i for i, k in enumerate(p.node_kinds)}
+    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for k, i in kinds.items()), F.lit(999)) if kinds else F.lit(999)
+    attrs = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.to_json(F.array(e.key)).substr(F.lit(2), F.length(F.to_json(F.array(e.key))) - 2), F.lit(":"), e.value)), ","), F.lit("}"))
+    e = r.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", "tgt", "file", "line"))).alias("edges"))
+    f = found.filter("node_id is not null").groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("code", "message", "severity"))).alias("findings"))
+    n = r.nodes.select("id", "kind", attrs.alias("attrs"), "file", "line", rank.alias("rank")).join(e, "id", "left").join(f, "id", "left")
+    none = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
+    rest = F.to_json(F.struct("file", "id", "kind", "line"))
+    text = F.concat(F.lit('{"attrs":'), "attrs", F.lit(',"edges":'), none("edges"), F.lit(',"findings":'), none("findings"), F.lit(","), rest.substr(F.lit(2), F.length(rest) - 1))
+    lost = ordered(found.join(r.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select(*found.columns))
+    lost = lost.select(F.to_json(F.struct(F.struct(*(F.col(c) for c in sorted(found.columns))).alias("unattachable"))).alias("text"))
+    placed = lambda df, part: df.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("m"), "text")
+    ways = [(2, i, to_json({"pathway": name, "order": order, "current": current})) for i, (name, (order, current)) in enumerate(r.pathways.items())]
+    out = placed(n.select("rank", "id", text.alias("text")).orderBy("rank", "id"), 0).unionByName(placed(lost, 1))
+    out = cut(out.unionByName(r.nodes.sparkSession.createDataFrame(ways, "part int, m long, text string"))).withColumn("task", F.shiftright("m", 33))
+    before = F.sum("n").over(Window.orderBy("part", "task")) - F.col("n")  # a row for each task
+    starts = out.groupBy("part", "task").agg(F.count("*").alias("n")).select("part", "task", before.alias("start"))
+    return out.join(F.broadcast(starts), ["part", "task"]).select((F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("line"), "text")
+
+
 def table(df: DataFrame, form: str = "plain", order: list[str] | None = None) -> Iterator[str]:
     """Any report: a line a row with a header. Cells are justified by widths that a first pass measures."""
     df = df.orderBy(*(order or df.columns))

@@ -17,3 +17,20 @@ def test_suggestion_documents_stay_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranking, "read_suggestions", lambda docs: seen.append(docs) or read(docs))
     assert QUERIES["S43_suggestions_document"](spark, str(tmp_path)).distinct().count() == 25_000
     assert seen[0].selectExpr("max(json_array_length(get_json_object(text, '$.suggestions')))").first()[0] <= 10_000
+
+
+def test_trace_lines_are_those_of_trace(spark):
+    n = spark.createDataFrame([("b", "y", {"s": '"q\\"x"', "n": "1.0"}, "f", 1, 1), ("c", "x", {}, "g", 2, 2), ("a", "z", {}, "f", 3, 3)], NODE)
+    e = spark.createDataFrame([("b", "c", "k", {}, "f", 5, 1), ("b", "a", "k", {}, "f", 4, 2), ("gone", "a", "k", {}, "f", 4, 3)], EDGE)
+    f = spark.createDataFrame([("error", "C", "m", "b", "f", 1), ("hint", "D", "n", None, "f", 2), ("hint", "B", "n", "none", "f", 1)], "severity string, code string, message string, node_id string, file string, line long")
+    r, p = Register(n, e, {"w": (["1", "2"], "2")}, None), Profile({"x": NodeKind(), "y": NodeKind()}, {"k": [("x", "y")]})
+    lines = render.trace_lines(r, f, p).orderBy("line").collect()
+    assert [x.line for x in lines] == list(range(6)) and [json.loads(x.text) for x in lines] == [json.loads(x) for x in render.trace(r, f, p, "json")]
+
+
+def test_no_trace_passes_through_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("lines on the driver")
+
+    monkeypatch.setattr(render, "trace", refuse)
+    assert QUERIES["S42_trace_round_trip"](spark, DATA).filter("what = 'edge'").count() == spark.read.parquet(f"{DATA}/orders.parquet").filter("o_orderkey % 5 = 0").count()
