@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +60,69 @@ def candidates(nodes: DataFrame, edges: DataFrame, p: Profile, kind: str) -> tup
     return sources, targets
 
 
+#: Sources and chunks of targets that one matrix product compares, about.
+BLOCK = (1_000, 4_000)
+
+
+def _side(t: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by id as UTF-8: the different ids, where each starts, kinds, lengths (-1: null, or a null within), and rows scaled to norm 1, padded with zeros."""
+    rows = sorted(zip(*(t.column(c).to_pylist() for c in ("id", "kind", "vec")), strict=True), key=lambda r: r[0].encode("utf-8", "surrogatepass"))
+    size = np.array([-1 if v is None or None in v else len(v) for _, _, v in rows])
+    m = np.zeros((len(rows), max(size.max(initial=0), 0)))
+    for i, (_, _, v) in enumerate(rows):
+        if size[i] > 0:
+            m[i, : size[i]] = v
+    norm = np.sqrt((m * m).sum(1))
+    first = [i for i in range(len(rows)) if not i or rows[i][0] != rows[i - 1][0]]
+    return [rows[i][0] for i in first], np.array(first), np.array([r[1] for r in rows], object), size, m / np.where(norm == 0, 1, norm)[:, None]
+
+
+def _best(allowed: frozenset, k: int):
+    """A block of sources and one of targets -> each source's k best there."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, tgt, score = [], [], []
+        left, right = (t.filter(pc.and_(t.column("id").is_valid(), t.column("kind").is_valid())) for t in (left, right))
+        if len(left) and len(right):
+            (a, at_a, kind_a, size_a, va), (b, at_b, kind_b, size_b, vb) = _side(left), _side(right)
+            width = min(va.shape[1], vb.shape[1])  # vectors of other lengths have no score
+            x = va[:, :width] @ vb[:, :width].T
+            x[np.isnan(x)] = np.inf
+            x[(size_a[:, None] != size_b) | (size_a[:, None] < 0)] = -1e300
+            for i in set(kind_a):
+                for j in set(kind_b):
+                    if (i, j) not in allowed:
+                        x[np.ix_(kind_a == i, kind_b == j)] = -np.inf
+            x = np.maximum.reduceat(np.maximum.reduceat(x, at_b, axis=1), at_a, axis=0)
+            x = np.where(np.abs(x) <= 2, np.round(x, 6), x)
+            place = {t: i for i, t in enumerate(b)}
+            for i, s in enumerate(a):
+                row = x[i]
+                if s in place:
+                    row[place[s]] = -np.inf
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                c = np.flatnonzero((row >= least) & (row > -np.inf))
+                for j in c[np.argsort(-row[c], kind="stable")][:k]:
+                    src.append(s)
+                    tgt.append(b[j])
+                    score.append(None if row[j] == -1e300 else np.nan if row[j] == np.inf else float(row[j]))
+        return pa.table({"src": pa.array(src, pa.string()), "tgt": pa.array(tgt, pa.string()), "score": pa.array(score, pa.float64(), from_pandas=False)})
+
+    return run
+
+
 def rank(sources: DataFrame, targets: DataFrame, p: Profile, kind: str, k: int = 5) -> DataFrame:
     """sources: id, kind, vec; targets: id, kind, vec, a row for each chunk -> the k best targets of each source over the allowed pairs of kinds: src, tgt, kind, score, rank.
 
-    A target scores as its best chunk; a source is never its own target; ties go by id. Vectors of norm 0 score 0."""
-    pairs = sources.sparkSession.createDataFrame([(s, t) for s, t in p.edge_kinds[kind]], "kind string, t_kind string")
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    s = sources.join(F.broadcast(pairs), "kind").select("t_kind", F.col("id").alias("src"), F.col("vec").alias("a"), norm(F.col("vec")).alias("na"))
-    t = targets.select(F.col("kind").alias("t_kind"), F.col("id").alias("tgt"), F.col("vec").alias("b"), norm(F.col("vec")).alias("nb"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    each = s.join(t, "t_kind").filter("src <> tgt").select("src", "tgt", F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(dot / (F.col("na") * F.col("nb"))).alias("score"))
-    best = each.groupBy("src", "tgt").agg(F.round(F.max("score"), 6).alias("score"))
+    A target scores as its best chunk; a source is never its own target; ties go by id. Vectors of norm 0 score 0.
+    All pairs are compared, block against block as matrix products; of a block only the k best of each source go on. Scores are rounded to 6 digits before they are ranked."""
+    n_s, n_t = (max(1, math.ceil(df.count() / size)) for df, size in ((sources, BLOCK[0]), (targets, BLOCK[1])))
+    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cols = ["id", "kind", "vec"]
+    s = sources.select(cell(n_s).alias("x"), every(n_t).alias("y"), *cols)
+    t = targets.select(every(n_s).alias("x"), cell(n_t).alias("y"), *cols)
+    best = s.groupBy("x", "y").cogroup(t.groupBy("x", "y")).applyInArrow(_best(frozenset(p.edge_kinds[kind]), k), "src string, tgt string, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt"))).filter(F.col("rank") <= k)
     return ranked.select("src", "tgt", F.lit(kind).alias("kind"), "score", "rank")
 

@@ -34,3 +34,22 @@ def test_no_trace_passes_through_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(render, "trace", refuse)
     assert QUERIES["S42_trace_round_trip"](spark, DATA).filter("what = 'edge'").count() == spark.read.parquet(f"{DATA}/orders.parquet").filter("o_orderkey % 5 = 0").count()
+
+
+def test_ranking_compares_blocks_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK", (3, 4))
+    vecs = [(f"{'st'[i % 2]}{i}", "xyz"[i % 3], [float(i % 5), 1.0, float(i % 7)] if i % 11 else [0.0, 0.0, 0.0]) for i in range(40)] + [("t1", "y", [9.0, 0.0, 1.0]), ("s0", "x", [1.0, 2.0]), ("t3", "x", None), ("s4", "z", [1.0, 1.0, 1.0])]
+    of = lambda side: [v for v in vecs if v[0][0] in side]
+    p = Profile({}, {"near": [("x", "x"), ("x", "y"), ("y", "z"), ("z", "x")]})
+    got = ranking.rank(*(spark.createDataFrame(of(x), "id string, kind string, vec array<float>") for x in ("s", "st")), p, "near", 3)
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    score = lambda a, b: None if a is None or b is None or len(a) != len(b) else 0.0 if not norm(a) or not norm(b) else round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 6)
+    best = {}
+    for s, ks, a in of("s"):
+        for t, kt, b in of("st"):
+            if s != t and (ks, kt) in p.edge_kinds["near"]:
+                best.setdefault(s, {}).setdefault(t, []).append(score(a, b))
+    low = lambda xs: max((x for x in xs if x is not None), default=None)
+    want = {(s, t, i) for s, ts in best.items() for i, (t, _) in enumerate(sorted(((t, low(x)) for t, x in ts.items()), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:3], 1)}
+    assert {(r.src, r.tgt, r["rank"]) for r in got.collect()} == want
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
