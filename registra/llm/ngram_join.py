@@ -13,7 +13,9 @@ Costs decide, set by set, from the measured lengths of the lists:
 3. Dear sets are indexed by their one-deletion neighbourhoods too, again with list lengths, and each set takes the cheapest
    worths of 0, 1 and 2 whose sum passes H. Only pairs of two dear sets are met there, and only where the shingles that many dear sets have can make the
    link; pairs that need others too are counted in segments of one shingle, the finest partition there is.
-Candidates are verified on whole sets.
+Candidates are verified on whole sets. Before that, wherever lists are joined with themselves, a pair is left out if the sketches
+of its sets differ in more bits than linked sets can: a bit is the parity of the elements that fall on it, so bits that differ are
+never more than elements that differ, and no link is lost. Above some 500 shingles a set the bits fill up and leave out little.
 
 Equal sets form a class and are represented once. Lists of classes are first tested as stars (a centre against the rest),
 and a list whose members are all connected needs no further pair, so groups of copies cost rows in proportion to their size.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, few, mix64, pieces, shingle_sets
+from .common import BROADCAST_ROWS, Scratch, few, mix64, pieces, shingle_sets
 from .components import components
 
 _SEG, _BAND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -46,6 +48,8 @@ RARE = 64
 CENTRES = 16
 #: Rounds in which sets go that share too few segments with any other.
 PRUNINGS = 2
+#: Words of 64 bits of a sketch.
+SKETCH = tuple(f"s{i}" for i in range(8))
 
 
 class Bands:
@@ -146,6 +150,19 @@ def neighbourhoods(h: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.n
         yield int(band[0] & 1), int(most[0]), keys, at, np.arange(len(at)) < len(cell), int(np.minimum(c.size, 2).sum()) <= most[0]
 
 
+def sketches(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of words for each set: bit i is the parity of the number of its elements whose highest bits say i."""
+    width = 64 * len(SKETCH)
+    bits = np.zeros(len(n) * width, np.uint8)
+    np.bitwise_xor.at(bits, np.repeat(np.arange(len(n)) * width, n) + (((h >> _HALF) * np.uint64(width)) >> _HALF).astype(np.int64), np.uint8(1))
+    return np.packbits(bits, bitorder="little").view(np.int64).reshape(len(n), len(SKETCH))
+
+
+def _close(percent: int) -> str:
+    """The condition that the sketches s0_a ... and s0_b ... of sets of n_a and n_b elements don't rule a link out."""
+    return f"({' + '.join(f'bit_count({s}_a ^ {s}_b)' for s in SKETCH)}) * {100 + percent} <= (n_a + n_b) * {100 - percent}"
+
+
 def _profile(width: int, percent: int):
     """(id, of, text) -> (id, of, n, c1, c2, odd, own, low): set size, class of equal sets (128 bits), parity of its band, slack in the own and in the lower band."""
 
@@ -186,7 +203,7 @@ def _signatures(width: int, percent: int):
 
 
 def _sets(width: int):
-    """(cls, text) -> (cls, n, h): the set as sorted hashes of 8 bytes."""
+    """(cls, text) -> (cls, n, h, s0, ...): the set as sorted hashes of 8 bytes, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +211,7 @@ def _sets(width: int):
             for texts in pieces(b.column(1).to_pylist()):
                 h, n = shingle_sets(texts, width)
                 end = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n), pa.array([h[e - k : e].tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)], pa.binary())], ["cls", "n", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(n)), pa.array(n), pa.array([h[e - k : e].tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)], pa.binary()), *map(pa.array, sketches(h, n).T)], ["cls", "n", "h", *SKETCH])
                 at += len(n)
 
     return run
@@ -283,7 +300,8 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     short = classes.filter("own < 0").select("cls", F.col("odd").alias("parity")).union(classes.filter("low < 0").select("cls", (1 - F.col("odd")).alias("parity")))
     short = scratch.cut(short)  # too many segments are empty, so the lists don't suffice
     near = lists.select("cls").union(short.select("cls")).distinct()
-    sets = scratch.cut(texts(reps.join(near, "cls")).mapInArrow(_sets(width), "cls long, n long, h binary").groupBy("cls").agg(F.min("n").alias("n"), F.min("h").alias("h")))
+    sets = scratch.cut(texts(reps.join(near, "cls")).mapInArrow(_sets(width), f"cls long, n long, h binary, {' long, '.join(SKETCH)} long").groupBy("cls").agg(*(F.min(c).alias(c) for c in ("n", "h", *SKETCH))))
+    marks = few(sets.select("cls", *SKETCH), BROADCAST_ROWS // 4)  # wider rows than others that are broadcast
     comp = scratch.cut(sets.select("cls", F.col("cls").alias("comp")))
     tested = None
 
@@ -321,8 +339,8 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
     dear = cost.filter(F.col("cost") > COST * F.col("n")).select("cls", "parity").union(short).distinct()
     dear = scratch.cut(dear)
     left = scratch.cut(left.select("key", "cls", "comp", "parity", "n").join(few(dear.withColumn("dear", F.lit(True))), ["cls", "parity"], "left").withColumn("dear", F.coalesce("dear", F.lit(False))))
-    x, y = (left.select("key", "parity", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "n", "dear"))) for n in "ab")
-    fits = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}"
+    x, y = (left.join(marks, "cls").select("key", "parity", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "n", "dear", *SKETCH))) for n in "ab")
+    fits = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent} and {_close(percent)}"
     merge(x.filter("not dear_a").join(y, ["key", "parity"]).filter(f"comp_a <> comp_b and (dear_b or cls_a < cls_b) and {fits}").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
 
     # Pairs of two dear sets.
@@ -336,10 +354,10 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         e = scratch.cut(e.select("key", "cls", "held"))
         has = e.groupBy("cls").agg(F.count_if(F.col("held") > RARE).alias("u"), F.count("*").alias("all"))
         sizes = scratch.cut(held.select("cls", "n").join(few(has), "cls").filter(f"all * 100 >= n * {percent}").select("cls", "n", "u"))
-        x, y = (e.filter(f"held <= {RARE}").join(few(comp), "cls").join(few(sizes), "cls").select("key", F.col("cls").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("comp", "n", "u"))) for n in "ab")
+        x, y = (e.filter(f"held <= {RARE}").join(few(comp), "cls").join(few(sizes), "cls").join(marks, "cls").select("key", F.col("cls").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("comp", "n", "u", *SKETCH))) for n in "ab")
         both = x.join(y, "key").filter(f"a < b and comp_a <> comp_b and {fits}").groupBy("a", "b", "n_a", "n_b", "u_a", "u_b").agg(F.count("*").alias("s"))
         merge(both.filter(f"(s + least(u_a, u_b)) * {100 + percent} >= (n_a + n_b) * {percent}").select("a", "b"))
-        bound = f"least(u_a, u_b) * {100 + percent} >= (n_a + n_b) * {percent} and {fits}"
+        bound = f"least(u_a, u_b) * {100 + percent} >= (n_a + n_b) * {percent} and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}"
 
         # The other pairs share usual shingles only, so of either set at least percent must be usual.
         held = scratch.cut(held.join(few(sizes.select("cls", "u")), "cls").filter(f"u * 100 >= n * {percent}"))
@@ -364,11 +382,11 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFra
         rows = rows.filter("as_is > 0")
         # A set's own worths meet any partner, so it is enough that the greater of two looks the other up.
         probes = rows.join(worth, ["cls", "parity", "seg"]).filter("exact or worth = 2")
-        x, y = (t.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "n", "u", "exact", *w))) for n, t, w in (("a", probes, ("worth",)), ("b", rows, ())))
-        merge(x.join(y, "key").filter(f"(n_a > n_b or n_a = n_b and cls_a > cls_b) and comp_a <> comp_b and (exact_a and exact_b or worth_a = 2 and exact_a <> exact_b) and {bound}").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
+        x, y = (t.join(marks, "cls").select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("cls", "comp", "n", "u", "exact", *SKETCH, *w))) for n, t, w in (("a", probes, ("worth",)), ("b", rows, ())))
+        merge(x.join(y, "key").filter(f"(n_a > n_b or n_a = n_b and cls_a > cls_b) and comp_a <> comp_b and (exact_a and exact_b or worth_a = 2 and exact_a <> exact_b) and {bound} and {_close(percent)}").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
         thin = made.filter("thin").select("cls").distinct()  # too few segments are filled even so: pairs of two such sets are met by their usual shingles
-        x, y = (e.filter(f"held > {RARE}").join(few(thin), "cls").select("key", F.col("cls").alias(n)) for n in "ab")
-        merge(x.join(y, "key").filter("a < b"))
+        x, y = (e.filter(f"held > {RARE}").join(few(thin), "cls").join(few(sizes), "cls").join(marks, "cls").select("key", F.col("cls").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("n", *SKETCH))) for n in "ab")
+        merge(x.join(y, "key").filter(f"a < b and {fits}").select("a", "b"))
         scratch.drop(made, rows, held, e, sizes)
 
     group = classes.join(comp, "cls", "left").select("c1", "c2", "first", F.coalesce("comp", "cls").alias("comp"))

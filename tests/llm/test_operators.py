@@ -86,6 +86,47 @@ def test_neighbourhoods_lose_no_pair():
             assert met
 
 
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 4000, np.uint64)
+    for size in (1, 7, 60, 146, 900, 3000):
+        a, b, empty = (np.unique(rng.choice(pool, k, False)) for k in (size, max(1, size * 9 // 10), 0))
+        x, none, y = ngram_join.sketches(np.concatenate([a, empty, b]), np.array([len(a), 0, len(b)])).view(np.uint64)
+        assert not none.any()
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+        assert int(np.bitwise_count(x).sum()) % 2 == len(a) % 2
+
+
+@pytest.mark.parametrize("cost", [0.0, 1e9])
+def test_near_copies_below_the_threshold_are_not_all_verified(spark, cost, monkeypatch, tmp_path):
+    """Copies of a text of which each differs from it just too much, and from another copy some twice as much, besides real links."""
+    monkeypatch.setattr(ngram_join, "COST", cost)
+    seen, verify = tmp_path / "seen", ngram_join._verify
+
+    def counted(percent):
+        def run(batches):
+            for b in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{len(b)}\n")
+                yield from verify(percent)(iter([b]))
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    rng, base, texts = random.Random(8), [f"b{k}" for k in range(150)], []
+    for i in range(90):
+        w = list(base)
+        for j in range(8):
+            w[rng.randrange(19 * j, 19 * j + 14)] = f"e{i}x{j}"
+        texts.append(" ".join(w))
+    texts += [f"{texts[0]} tail", f"{texts[1]} other tail"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_links(d).collect()}
+    assert got == brute_force_groups(texts)
+    assert len({c for _, c in got.values()}) == 90
+    assert sum(map(int, seen.read_text().split())) <= 3 * len(texts)
+
+
 def test_ngram_join_of_nothing(docs):
     assert ngram_join.jaccard_links(docs.filter("false")).count() == 0
 
