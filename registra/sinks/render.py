@@ -108,15 +108,15 @@ def trace_lines(r: Register, found: DataFrame, p: Profile) -> DataFrame:
     attrs = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(F.to_json(F.array(e.key)).substr(F.lit(2), F.length(F.to_json(F.array(e.key))) - 2), F.lit(":"), e.value)), ","), F.lit("}"))
     e = r.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", "tgt", "file", "line"))).alias("edges"))
     f = found.filter("node_id is not null").groupBy(F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("code", "message", "severity"))).alias("findings"))
-    n = r.nodes.select("id", "kind", attrs.alias("attrs"), "file", "line", rank.alias("rank")).join(e, "id", "left").join(f, "id", "left")
+    n = r.nodes.select("id", "kind", "attrs", "file", "line", rank.alias("rank")).join(e, "id", "left").join(f, "id", "left").orderBy("rank", "id")  # texts after the sort, which computes its input twice
     none = lambda c: F.coalesce(F.to_json(c), F.lit("[]"))
     rest = F.to_json(F.struct("file", "id", "kind", "line"))
-    text = F.concat(F.lit('{"attrs":'), "attrs", F.lit(',"edges":'), none("edges"), F.lit(',"findings":'), none("findings"), F.lit(","), rest.substr(F.lit(2), F.length(rest) - 1))
+    text = F.concat(F.lit('{"attrs":'), attrs, F.lit(',"edges":'), none("edges"), F.lit(',"findings":'), none("findings"), F.lit(","), rest.substr(F.lit(2), F.length(rest) - 1))
     lost = ordered(found.join(r.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select(*found.columns))
     lost = lost.select(F.to_json(F.struct(F.struct(*(F.col(c) for c in sorted(found.columns))).alias("unattachable"))).alias("text"))
     placed = lambda df, part: df.select(F.lit(part).alias("part"), F.monotonically_increasing_id().alias("m"), "text")
     ways = [(2, i, to_json({"pathway": name, "order": order, "current": current})) for i, (name, (order, current)) in enumerate(r.pathways.items())]
-    out = placed(n.select("rank", "id", text.alias("text")).orderBy("rank", "id"), 0).unionByName(placed(lost, 1))
+    out = placed(n.select(text.alias("text")), 0).unionByName(placed(lost, 1))
     out = cut(out.unionByName(r.nodes.sparkSession.createDataFrame(ways, "part int, m long, text string"))).withColumn("task", F.shiftright("m", 33))
     before = F.sum("n").over(Window.orderBy("part", "task")) - F.col("n")  # a row for each task
     starts = out.groupBy("part", "task").agg(F.count("*").alias("n")).select("part", "task", before.alias("start"))
